@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from valora.llm.substring_dedup import OP8_SQL, op8_substring_dedup
 from valora.llm.token_counts import op9_token_counts
 
-QUERIES = {"op9_token_counts": op9_token_counts}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op9_token_counts": op9_token_counts}
+ORACLE: dict[str, str] = {"op8_substring_dedup": OP8_SQL}
