@@ -147,7 +147,8 @@ def starts(at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def segment_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of values[at[i]:at[i + 1]], also where a segment is empty."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    total = np.cumsum(values)
+    total = np.concatenate([np.zeros(1, total.dtype), total])
     return total[at[1:]] - total[at[:-1]]
 
 
