@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from valora.llm.media_chunks import op10_media_chunks
+from valora.llm.ngram_join import op7_ngram_join
 from valora.llm.substring_dedup import OP8_SQL, op8_substring_dedup
 from valora.llm.token_counts import op9_token_counts
 
-QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op9_token_counts": op9_token_counts}
+QUERIES = {
+    "op7_ngram_join": op7_ngram_join,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_token_counts": op9_token_counts,
+    "op10_media_chunks": op10_media_chunks,
+}
 ORACLE: dict[str, str] = {"op8_substring_dedup": OP8_SQL}
