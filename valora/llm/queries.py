@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from valora.llm.decontaminate import op6_decontaminate
 from valora.llm.media_chunks import op10_media_chunks
+from valora.llm.mixing import op2_mixing
 from valora.llm.ngram_join import op7_ngram_join
 from valora.llm.substring_dedup import OP8_SQL, op8_substring_dedup
 from valora.llm.token_counts import op9_token_counts
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op6_decontaminate": op6_decontaminate,
     "op7_ngram_join": op7_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
