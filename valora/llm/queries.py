@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from valora.llm.decontaminate import op6_decontaminate
+from valora.llm.license_scan import op3_license_scan
 from valora.llm.media_chunks import op10_media_chunks
 from valora.llm.mixing import op2_mixing
 from valora.llm.ngram_join import op7_ngram_join
@@ -11,6 +12,7 @@ from valora.llm.token_counts import op9_token_counts
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_license_scan": op3_license_scan,
     "op6_decontaminate": op6_decontaminate,
     "op7_ngram_join": op7_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
