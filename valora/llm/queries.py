@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from valora.llm.decontaminate import op6_decontaminate
+from valora.llm.language_id import op1_language_id
 from valora.llm.license_scan import op3_license_scan
 from valora.llm.media_chunks import op10_media_chunks
 from valora.llm.mixing import op2_mixing
@@ -11,6 +12,7 @@ from valora.llm.substring_dedup import OP8_SQL, op8_substring_dedup
 from valora.llm.token_counts import op9_token_counts
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op3_license_scan": op3_license_scan,
     "op6_decontaminate": op6_decontaminate,
