@@ -8,6 +8,7 @@ from valora.llm.license_scan import op3_license_scan
 from valora.llm.media_chunks import op10_media_chunks
 from valora.llm.mixing import op2_mixing
 from valora.llm.ngram_join import op7_ngram_join
+from valora.llm.quality import op4_quality
 from valora.llm.substring_dedup import OP8_SQL, op8_substring_dedup
 from valora.llm.token_counts import op9_token_counts
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op3_license_scan": op3_license_scan,
+    "op4_quality": op4_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_ngram_join": op7_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
