@@ -5,6 +5,7 @@ from __future__ import annotations
 from valora.llm.decontaminate import op6_decontaminate
 from valora.llm.language_id import op1_language_id
 from valora.llm.license_scan import op3_license_scan
+from valora.llm.lm_score import op5_lm_score
 from valora.llm.media_chunks import op10_media_chunks
 from valora.llm.mixing import op2_mixing
 from valora.llm.ngram_join import op7_ngram_join
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_license_scan": op3_license_scan,
     "op4_quality": op4_quality,
+    "op5_lm_score": op5_lm_score,
     "op6_decontaminate": op6_decontaminate,
     "op7_ngram_join": op7_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
