@@ -161,6 +161,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return named.select(F.when(F.col("id") != (1 << 63) - 1, F.col("id")).alias("doc_id"), "item_id", "n_items", "item_words", "same_words", "first_word", "overlap", F.col("th").alias("__th"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that overlap with no item of benchmark."""
+    found = S.cut(contaminated(docs, benchmark).select("doc_id", "__th").distinct())
+    n, _ = S.measured(found, F.lit(0))
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.lit(31), F.coalesce("text", F.lit("")))})
+    return S.attach(keyed, found.withColumnRenamed("doc_id", "__id"), ["__id", "__th"], 32 * n, "left_anti").drop("__id", "__th")
+
+
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("__th")

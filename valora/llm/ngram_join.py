@@ -202,7 +202,8 @@ def _verify(threshold: float):
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row for each of docs' rows (doc_id and text are read): doc_id, class_id, n_links, and
-    n_grams, the size of the set; __id and __th name the row: the id with null last and a hash of the text."""
+    n_grams, the size of the set; __id and __th name the row (the id with null last, a hash of the text), __stays is true
+    for the first (__id, __th) of each class."""
     bands, rows = banding(threshold, recall)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("__text"))
     sig = S.cut(keyed.mapInArrow(_signatures(bands, rows), "id long, th long, fp long, n_grams long, bands array<long>"))
@@ -232,19 +233,34 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     found = S.cut(sets.groupBy("place", "first", "second").applyInArrow(_verify(threshold), "node long, label long, links long"))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    known = linked.join(classes, "node").join(nodes.select("node", "rep.id"), "node")
-    least = known.groupBy("label").agg(F.min("id").alias("first_id"))
-    known = S.cut(known.join(least, "label").select("node", "links", "first_id"))
-    every = nodes.join(known, "node", "left").select(F.col("node").alias("__node"), F.coalesce("first_id", "rep.id").alias("__first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = linked.join(classes, "node").join(nodes.select("node", "rep"), "node")
+    least = known.groupBy("label").agg(F.min("rep").alias("first"))
+    known = S.cut(known.join(least, "label").select("node", "links", "first"))
+    every = nodes.join(known, "node", "left").select(F.col("node").alias("__node"), F.coalesce("first", "rep").alias("__first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     rows_out = sig.select("id", "th", "fp", "n_grams").join(every, F.col("fp") == F.col("__node"), "left")
-    first = F.coalesce("__first", "id")
+    first = F.coalesce("__first.id", "id")
     null_last = lambda c: F.when(c != _LAST, c)
     return rows_out.select(
         null_last(F.col("id")).alias("doc_id"), null_last(first).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_grams",
-        F.col("id").alias("__id"), F.col("th").alias("__th"), first.alias("__first"),
+        F.col("id").alias("__id"), F.col("th").alias("__th"), F.coalesce((F.col("id") == F.col("__first.id")) & (F.col("th") == F.col("__first.th")), F.lit(True)).alias("__stays"),
     )
 
 
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without those that are near copies of another one: of each class of jaccard_join
+    the document with the smallest id stays, once; documents without an n-gram all stay."""
+    joined = S.cut(jaccard_join(docs).select("__id", "__th", "__stays", "n_grams"))
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    gone = S.cut(joined.where("not __stays").select("__id", "__th").distinct())
+    again = S.cut(joined.where("__stays and n_grams > 0").groupBy("__id", "__th").count().where("count > 1").select("__id", "__th"))
+    (n_gone, _), (n_again, _) = S.measured(gone, F.lit(0)), S.measured(again, F.lit(0))
+    kept = S.attach(keyed, gone, ["__id", "__th"], 32 * n_gone, "left_anti")
+    if n_again:  # rows repeated as they are
+        once = S.attach(kept, again, ["__id", "__th"], 32 * n_again, "left_semi").dropDuplicates(["__id", "__th"])
+        kept = S.attach(kept, again, ["__id", "__th"], 32 * n_again, "left_anti").unionByName(once)
+    return kept.drop("__id", "__th")
+
+
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_join(docs).select("doc_id", "class_id", "n_links", "n_grams")

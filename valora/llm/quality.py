@@ -193,6 +193,13 @@ def held_out(column="doc_id"):
     return S.crc_mod(F.col(column), 4) == 2
 
 
+def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs with a score of ACCEPT or more, by trees that learn from the labelled rows
+    that are not held out."""
+    trees = train(docs.select("doc_id", "text").where(~held_out()), labels.where(~held_out()))
+    return score(docs, trees, docs.columns).where(F.col("__score") >= ACCEPT).select(*docs.columns)
+
+
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")

@@ -177,6 +177,15 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     return full.mapInArrow(_kept(docs.columns), out)
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the words that dedup_substrings removes taken out of text; texts that lose none stay
+    as they are, documents that lose all their words go. n_chars, if there, follows the text."""
+    done = dedup_substrings(docs).where("__n_removed = 0 or __n_removed < __n_words").withColumn("text", F.when(F.col("__n_removed") > 0, F.col("__kept")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return done.select(*docs.columns)
+
+
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = dedup_substrings(docs)
