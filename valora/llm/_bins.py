@@ -1,9 +1,11 @@
 """Packed hash bins: many (hash, document, position) entries in few rows.
 
-A mapper packs the entries of some documents into one row per bin; a reducer
-gets all rows of a bin, decides which entries match, and names them by document.
-Entries cost their hash and two or four bytes of position; a document costs
-twenty bytes in each bin it has entries in.
+A mapper packs the entries of some documents (a flush) into one row per bin; a
+reducer gets all rows of a bin and answers with one row for each of them, so
+answers are put together by flush, which holds its documents whole. Entries cost
+their hash and two or four bytes of position; a document costs twenty bytes in
+each bin it has entries in. A flush grows with the number of bins, so that rows
+stay far fewer than entries.
 """
 
 from __future__ import annotations
@@ -13,12 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-PACKED = "bin int, ids binary, fps binary, runs binary, pos binary, hash binary"
-FOUND = "id long, fp long, pos binary"
-#: Bytes of entries that a bin should have, and documents of a merging group.
+from valora.llm import _kernel as K
+
+PACKED = "bin int, flush long, ids binary, fps binary, runs binary, pos binary, hash binary"
+FOUND = "flush long, ids binary, fps binary, runs binary, pos binary"
+#: Bytes of entries that a bin should have; entries of a flush, at least and at most, and for each bin.
 BIN_BYTES = 24 << 20
+FLUSH, FLUSH_MOST, FLUSH_PER_BIN = 600_000, 3_000_000, 2000
 
 
 def bins_for(nbytes: int, least: int = 12) -> int:
@@ -28,8 +33,8 @@ def bins_for(nbytes: int, least: int = 12) -> int:
 class Packer:
     """Collects entries and packs them into rows by bin once there are enough."""
 
-    def __init__(self, n_bins: int, hash_dtype, enough: int = 600_000):
-        self.n_bins, self.dtype, self.enough = n_bins, hash_dtype, enough
+    def __init__(self, n_bins: int, hash_dtype):
+        self.n_bins, self.dtype, self.enough = n_bins, hash_dtype, min(FLUSH_MOST, max(FLUSH, FLUSH_PER_BIN * n_bins))
         self.clear()
 
     def clear(self) -> None:
@@ -56,6 +61,8 @@ class Packer:
             bounds = np.searchsorted(where[order], np.arange(self.n_bins + 1))
             doc, pos, h = doc[order].astype(np.int64), pos[order], h[order].astype(self.dtype)
             kind = np.uint16 if int(pos.max()) < 1 << 16 else np.uint32
+            # flushes that share a name share documents' answers too, which does no harm
+            name = int(K.mix(np.array([ids.astype(np.uint64).sum() * np.uint64(3) + fps.astype(np.uint64).sum()]))[0].astype(np.int64))
             rows: list[list] = [[], [], [], [], [], []]
             for b in np.flatnonzero(np.diff(bounds)):
                 part = slice(bounds[b], bounds[b + 1])
@@ -65,13 +72,19 @@ class Packer:
                 runs = np.diff(np.append(at, len(d))).astype(np.uint32)
                 for col, x in zip(rows, (int(b), ids[of].tobytes(), fps[of].tobytes(), runs.tobytes(), pos[part].astype(kind).tobytes(), h[part].tobytes()), strict=True):
                     col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(x, pa.binary()) for x in rows[1:]]], names=["bin", "ids", "fps", "runs", "pos", "hash"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[0], pa.int32()), pa.array(np.full(len(rows[0]), name)), *[pa.array(x, pa.binary()) for x in rows[1:]]], names=["bin", "flush", "ids", "fps", "runs", "pos", "hash"]
+            )
         self.clear()
 
 
 @dataclass
 class Entries:
-    """The entries of a bin; those of document k (ids, fps) have doc == k."""
+    """The entries of a bin; those of document k (ids, fps) have doc == k. Row r of the bin came from
+    the flush ``flush[r]`` and has the documents first[r]:first[r + 1]."""
+
+    flush: np.ndarray
+    first: np.ndarray
 
     ids: np.ndarray
     fps: np.ndarray
@@ -88,18 +101,21 @@ def unpack(table: pa.Table, hash_dtype) -> Entries:
         pos.append(np.frombuffer(x, np.uint16 if len(x) == 2 * int(r.sum()) else np.uint32).astype(np.uint32))
     every = np.concatenate(runs)
     join = lambda parts, kind: np.concatenate([np.frombuffer(x, kind) for x in parts])
-    return Entries(join(cols[0], np.int64), join(cols[1], np.int64), np.repeat(np.arange(len(every), dtype=np.int32), every), np.concatenate(pos), join(cols[4], hash_dtype))
+    first = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
+    return Entries(table.column("flush").to_numpy(), first, join(cols[0], np.int64), join(cols[1], np.int64), np.repeat(np.arange(len(every), dtype=np.int32), every), np.concatenate(pos), join(cols[4], hash_dtype))
 
 
 def named(e: Entries, keep: np.ndarray) -> pa.Table:
-    """The kept entries' positions by document, as rows of FOUND."""
+    """The kept entries' positions by document: a row of FOUND for each flush that has any."""
     doc, pos = e.doc[keep], e.pos[keep]
     order = np.argsort(doc, kind="stable")
     doc, pos = doc[order], pos[order]
     at = np.flatnonzero(np.diff(doc, prepend=-1))
-    ends = np.append(at, len(doc))[1:]
-    of = doc[at]
-    return pa.table({"id": pa.array(e.ids[of]), "fp": pa.array(e.fps[of]), "pos": pa.array([pos[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
+    of, runs = doc[at], np.diff(np.append(at, len(doc))).astype(np.uint32)
+    docs, places = np.searchsorted(of, e.first), np.searchsorted(doc, e.first)
+    rows = np.flatnonzero(np.diff(docs))
+    cut = lambda values, edges: pa.array([values[edges[r] : edges[r + 1]].tobytes() for r in rows], pa.binary())
+    return pa.table({"flush": pa.array(e.flush[rows]), "ids": cut(e.ids[of], docs), "fps": cut(e.fps[of], docs), "runs": cut(runs, docs), "pos": cut(pos, places)})
 
 
 def matched(packed: DataFrame, hash_dtype, decide: Callable[[Entries], np.ndarray]) -> DataFrame:
@@ -112,36 +128,27 @@ def matched(packed: DataFrame, hash_dtype, decide: Callable[[Entries], np.ndarra
     return packed.groupBy("bin").applyInArrow(run, FOUND)
 
 
-def spans(found: DataFrame, groups: int, before: int, after: int) -> DataFrame:
+def spans(found: DataFrame, before: int, after: int) -> DataFrame:
     """By document the union of [pos - before, pos + after): id, fp, lo and hi as packed int32."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, fps = table.column("id").to_numpy(), table.column("fp").to_numpy()
-        parts = [np.frombuffer(x, np.uint32) for x in table.column("pos").to_pylist()]
-        lens = np.array([len(p) for p in parts])
+        ids, fps, runs, pos = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("ids", np.int64), ("fps", np.int64), ("runs", np.uint32), ("pos", np.uint32)))
         order = np.lexsort((fps, ids))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(ids[order]) != 0) | (np.diff(fps[order]) != 0)
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
-        key = np.sort((np.repeat(group, lens) << 32) | np.concatenate(parts).astype(np.int64))
-        lo = key - before
+        key = np.sort((np.repeat(group, runs) << 32) | pos.astype(np.int64))
         cut = np.ones(len(key), bool)
-        cut[1:] = lo[1:] > key[:-1] + after  # another document is always far away
+        cut[1:] = key[1:] - before > key[:-1] + after  # another document is always far away
         first = np.flatnonzero(cut)
         last = np.append(first[1:], len(key)) - 1
-        doc = key[first] >> 32
         a = np.maximum((key[first] & 0xFFFFFFFF) - before, 0).astype(np.int32)
         z = ((key[last] & 0xFFFFFFFF) + after).astype(np.int32)
-        at = np.searchsorted(doc, np.arange(group.max() + 2))
+        at = np.searchsorted(key[first] >> 32, np.arange(group.max() + 2))
         one = order[new]
-        return pa.table(
-            {
-                "id": pa.array(ids[one]), "fp": pa.array(fps[one]),
-                "lo": pa.array([a[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()),
-                "hi": pa.array([z[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()),
-            }
-        )
-
-    grouped = found.withColumn("part", F.pmod(F.xxhash64("id", "fp"), F.lit(groups)))
-    return grouped.groupBy("part").applyInArrow(run, "id long, fp long, lo binary, hi binary")
+        packed = lambda values: pa.array([values[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
+        return pa.table({"id": pa.array(ids[one]), "fp": pa.array(fps[one]), "lo": packed(a), "hi": packed(z)})
+
+    by_flush = found.groupBy("flush").applyInArrow(run, "id long, fp long, lo binary, hi binary")
+    return by_flush.dropDuplicates(["id", "fp"])  # rows repeated as they are, in other flushes

@@ -153,21 +153,20 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     texts = S.cut(
         keyed.groupBy("__fp", "__fp2").agg(F.min("__id").alias("least"), F.count(F.lit(1)).alias("n"), F.max(F.octet_length("__text")).cast("long").alias("size"))
     )
-    n_texts, nbytes = S.measured(texts, "size")
+    _, nbytes = S.measured(texts, "size")
     several = texts.where("n > 1").select(F.col("__fp").alias("fp"), F.col("__fp2").alias("fp2"), "least")
     copies = keyed.select("__id", "__fp", "__fp2").join(several, (F.col("__fp") == F.col("fp")) & (F.col("__fp2") == F.col("fp2")) & (F.col("__id") > F.col("least")))
     copies = S.cut(copies.select("__id", "__fp").distinct())
     n_copies, _ = S.measured(copies, F.lit(0))
     first = S.attach(keyed.select(*slim), copies, ["__id", "__fp"], 40 * n_copies, "left_anti")
 
-    groups = B.bins_for(n_texts * 300)
     found = B.matched(first.mapInArrow(_anchors(B.bins_for(nbytes)), B.PACKED), np.uint32, _anchored)
-    near = S.cut(B.spans(found, groups, BLOCK_WORDS, 1).withColumnsRenamed({"id": "__id", "fp": "__fp"}))
+    near = S.cut(B.spans(found, BLOCK_WORDS, 1).withColumnsRenamed({"id": "__id", "fp": "__fp"}))
     n_near, near_bytes = S.measured(near, F.octet_length("lo") * 2 + 60)
     around = S.attach(first, near.withColumnsRenamed({"lo": "__lo", "hi": "__hi"}), ["__id", "__fp"], near_bytes, "inner")
     repeats = B.matched(around.mapInArrow(_windows(B.bins_for(nbytes // 2)), B.PACKED), np.uint64, _repeated)
     removed = S.cut(
-        B.spans(repeats, groups, 0, WINDOW).select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), "lo", "hi", F.lit(False).alias("whole"))
+        B.spans(repeats, 0, WINDOW).select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), "lo", "hi", F.lit(False).alias("whole"))
         .unionByName(copies.select("__id", "__fp", F.lit(None).cast("binary").alias("lo"), F.lit(None).cast("binary").alias("hi"), F.lit(True).alias("whole")))
     )
     _, removed_bytes = S.measured(removed, F.coalesce(F.octet_length("lo") * 2, F.lit(0)) + 60)
