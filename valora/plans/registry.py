@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["b0_fixed_cutoff"](spark, sf_dir)
+    return QUERIES["valuation"](spark, sf_dir)
 
 
-from valora.plans import cleaning, evidence  # noqa: E402, F401
+from valora.plans import cleaning, comparing, evidence, joining  # noqa: E402, F401
