@@ -31,4 +31,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["valuation"](spark, sf_dir)
 
 
-from valora.plans import cleaning, comparing, evidence, joining, measuring, releasing, reporting  # noqa: E402, F401
+from valora.plans import cleaning, comparing, evidence, joining, measuring, modelling, releasing, reporting, streaming  # noqa: E402, F401
