@@ -62,7 +62,7 @@ class Packer:
             doc, pos, h = doc[order].astype(np.int64), pos[order], h[order].astype(self.dtype)
             kind = np.uint16 if int(pos.max()) < 1 << 16 else np.uint32
             # flushes that share a name share documents' answers too, which does no harm
-            name = int(K.mix(np.array([ids.astype(np.uint64).sum() * np.uint64(3) + fps.astype(np.uint64).sum()]))[0].astype(np.int64))
+            name = int(K.mix((ids.astype(np.uint64) * np.uint64(3) + fps.astype(np.uint64)).sum(keepdims=True))[0].astype(np.int64))
             rows: list[list] = [[], [], [], [], [], []]
             for b in np.flatnonzero(np.diff(bounds)):
                 part = slice(bounds[b], bounds[b + 1])
