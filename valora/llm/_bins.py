@@ -3,8 +3,9 @@
 A mapper packs the entries of some documents (a flush) into one row per bin; a
 reducer gets all rows of a bin and answers with one row for each of them, so
 answers are put together by flush, which holds its documents whole. Entries cost
-their hash and two or four bytes of position; a document costs twenty bytes in
-each bin it has entries in. A flush grows with the number of bins, so that rows
+their hash and two or four bytes of position; a document costs sixteen bytes in
+each bin it has entries in, of which the ids, kept as differences, shrink in the
+shuffle. A flush grows with the number of bins, so that rows
 stay far fewer than entries.
 """
 
@@ -22,7 +23,7 @@ from valora.llm import _kernel as K
 PACKED = "bin int, flush long, ids binary, fps binary, runs binary, pos binary, hash binary"
 FOUND = "flush long, ids binary, fps binary, runs binary, pos binary"
 #: Bytes of entries that a bin should have; entries of a flush, at least and at most, and for each bin.
-BIN_BYTES = 24 << 20
+BIN_BYTES = 12 << 20
 FLUSH, FLUSH_MOST, FLUSH_PER_BIN = 600_000, 3_000_000, 2000
 
 
@@ -54,7 +55,7 @@ class Packer:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.n:
-            ids, fps = np.concatenate(self.ids), np.concatenate(self.fps)
+            ids, fps = np.concatenate(self.ids), np.concatenate(self.fps).astype(np.int32)
             doc, pos, h = np.concatenate(self.docs), np.concatenate(self.pos), np.concatenate(self.hashes)
             where = ((h >> np.uint64(40)) % np.uint64(self.n_bins)).astype(np.uint16)
             order = np.argsort(where, kind="stable")
@@ -70,7 +71,7 @@ class Packer:
                 at = np.flatnonzero(np.diff(d, prepend=-1))
                 of = d[at]
                 runs = np.diff(np.append(at, len(d))).astype(np.uint32)
-                for col, x in zip(rows, (int(b), ids[of].tobytes(), fps[of].tobytes(), runs.tobytes(), pos[part].astype(kind).tobytes(), h[part].tobytes()), strict=True):
+                for col, x in zip(rows, (int(b), np.diff(ids[of], prepend=0).tobytes(), fps[of].tobytes(), runs.tobytes(), pos[part].astype(kind).tobytes(), h[part].tobytes()), strict=True):
                     col.append(x)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows[0], pa.int32()), pa.array(np.full(len(rows[0]), name)), *[pa.array(x, pa.binary()) for x in rows[1:]]], names=["bin", "flush", "ids", "fps", "runs", "pos", "hash"]
@@ -80,7 +81,8 @@ class Packer:
 
 @dataclass
 class Entries:
-    """The entries of a bin; those of document k (ids, fps) have doc == k. Row r of the bin came from
+    """The entries of a bin; those of document k (ids, and 32 bits of a hash that tell rows of one id
+    apart) have doc == k. Row r of the bin came from
     the flush ``flush[r]`` and has the documents first[r]:first[r + 1]."""
 
     flush: np.ndarray
@@ -101,8 +103,9 @@ def unpack(table: pa.Table, hash_dtype) -> Entries:
         pos.append(np.frombuffer(x, np.uint16 if len(x) == 2 * int(r.sum()) else np.uint32).astype(np.uint32))
     every = np.concatenate(runs)
     join = lambda parts, kind: np.concatenate([np.frombuffer(x, kind) for x in parts])
+    ids = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in cols[0]])
     first = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
-    return Entries(table.column("flush").to_numpy(), first, join(cols[0], np.int64), join(cols[1], np.int64), np.repeat(np.arange(len(every), dtype=np.int32), every), np.concatenate(pos), join(cols[4], hash_dtype))
+    return Entries(table.column("flush").to_numpy(), first, ids, join(cols[1], np.int32), np.repeat(np.arange(len(every), dtype=np.int32), every), np.concatenate(pos), join(cols[4], hash_dtype))
 
 
 def named(e: Entries, keep: np.ndarray) -> pa.Table:
@@ -132,7 +135,7 @@ def spans(found: DataFrame, before: int, after: int) -> DataFrame:
     """By document the union of [pos - before, pos + after): id, fp, lo and hi as packed int32."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, fps, runs, pos = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("ids", np.int64), ("fps", np.int64), ("runs", np.uint32), ("pos", np.uint32)))
+        ids, fps, runs, pos = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("ids", np.int64), ("fps", np.int32), ("runs", np.uint32), ("pos", np.uint32)))
         order = np.lexsort((fps, ids))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(ids[order]) != 0) | (np.diff(fps[order]) != 0)
@@ -150,5 +153,5 @@ def spans(found: DataFrame, before: int, after: int) -> DataFrame:
         packed = lambda values: pa.array([values[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
         return pa.table({"id": pa.array(ids[one]), "fp": pa.array(fps[one]), "lo": packed(a), "hi": packed(z)})
 
-    by_flush = found.groupBy("flush").applyInArrow(run, "id long, fp long, lo binary, hi binary")
+    by_flush = found.groupBy("flush").applyInArrow(run, "id long, fp int, lo binary, hi binary")
     return by_flush.dropDuplicates(["id", "fp"])  # rows repeated as they are, in other flushes

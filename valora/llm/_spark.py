@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes up to which the small side of a join may be broadcast.
 BROADCAST_BYTES = 48 << 20
+#: Bytes of an Arrow batch to a Python worker.
+ARROW_BYTES = 8 << 20
 
 
 def shared(spark: SparkSession) -> str:
@@ -27,6 +29,11 @@ def shared(spark: SparkSession) -> str:
     return named
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few megabytes: a worker holds one of them, whatever the rows' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read back from Parquet in the shared checkpoint folder, without lineage.
     The files go when the session's JVM ends."""

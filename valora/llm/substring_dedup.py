@@ -32,7 +32,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id and text as __id, __fp, __fp2 and __text, beside the input's own columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.withColumns({
-        "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__fp": F.xxhash64(F.lit(11), text), "__fp2": F.xxhash64(F.lit(12), text), "__text": text,
+        "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__fp": F.hash(F.lit(11), text), "__fp1": F.xxhash64(F.lit(11), text), "__fp2": F.xxhash64(F.lit(12), text), "__text": text,
     })
 
 
@@ -148,14 +148,15 @@ def _kept(names: list[str]):
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """All columns of docs (doc_id and text at least; names with __ in front are the operator's)
     with __n_words, __n_removed and __kept, the kept words joined by one blank."""
+    S.small_batches(docs.sparkSession)
     keyed = _keyed(docs)
     slim = ["__id", "__fp", "__text"]
     texts = S.cut(
-        keyed.groupBy("__fp", "__fp2").agg(F.min("__id").alias("least"), F.count(F.lit(1)).alias("n"), F.max(F.octet_length("__text")).cast("long").alias("size"))
+        keyed.groupBy("__fp1", "__fp2").agg(F.min("__id").alias("least"), F.count(F.lit(1)).alias("n"), F.max(F.octet_length("__text")).cast("long").alias("size"))
     )
     _, nbytes = S.measured(texts, "size")
-    several = texts.where("n > 1").select(F.col("__fp").alias("fp"), F.col("__fp2").alias("fp2"), "least")
-    copies = keyed.select("__id", "__fp", "__fp2").join(several, (F.col("__fp") == F.col("fp")) & (F.col("__fp2") == F.col("fp2")) & (F.col("__id") > F.col("least")))
+    several = texts.where("n > 1").select(F.col("__fp1").alias("fp"), F.col("__fp2").alias("fp2"), "least")
+    copies = keyed.select("__id", "__fp", "__fp1", "__fp2").join(several, (F.col("__fp1") == F.col("fp")) & (F.col("__fp2") == F.col("fp2")) & (F.col("__id") > F.col("least")))
     copies = S.cut(copies.select("__id", "__fp").distinct())
     n_copies, _ = S.measured(copies, F.lit(0))
     first = S.attach(keyed.select(*slim), copies, ["__id", "__fp"], 40 * n_copies, "left_anti")
