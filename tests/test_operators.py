@@ -287,3 +287,38 @@ class TestIntegrity:
         for _ in range(2):
             store = shadow.appended(shadow.arrivals(spark, f"{tmp_path}/in"), f"{tmp_path}/out")
         assert store.count() == 10
+
+    def test_shards_ledger_requests_and_reports(self, spark, tmp_path):
+        base = f"file://{tmp_path}"
+        files.write_shard(spark.range(3), f"{base}/run", "a")
+        done = files.finished_shards(spark, f"{base}/run")
+        assert [r["shard"] for r in integrity.pending(spark.createDataFrame([("a",), ("b",)], "shard string"), done, "shard").collect()] == ["b"]
+        files.append_records(spark.range(2), f"{base}/store")
+        files.append_records(spark.range(3), f"{base}/store")
+        assert spark.read.parquet(f"{base}/store").count() == 5
+        (tmp_path / "r.json").write_text('{"id": 1, "area": 2.5}\n{"id": 2}\n')
+        assert [r["area"] for r in files.read_requests(spark, f"{base}/r.json", "id int, area double").orderBy("id").collect()] == [2.5, None]
+        assert "| UNKNOWN |" in files.report("t", {"x": spark.sql("select cast(null as int) as a")})
+        with pytest.raises(ValueError):
+            files.report("t", {"x": spark.range(500)})
+
+    def test_frozen_judgements_and_boundary(self, spark, tmp_path):
+        import hashlib
+
+        (tmp_path / "j.csv").write_text("id,v\n1,a\n")
+        sha = hashlib.sha256((tmp_path / "j.csv").read_bytes()).hexdigest()
+        assert files.load_frozen(spark, f"file://{tmp_path}/j.csv", "id int, v string", sha).count() == 1
+        with pytest.raises(ValueError):
+            files.load_frozen(spark, f"file://{tmp_path}/j.csv", "id int, v string", "0")
+        spark.range(1).write.parquet(f"{tmp_path}/ok")
+        df = spark.read.parquet(f"{tmp_path}/ok")
+        assert integrity.assert_allowed_sources(df, [f"{tmp_path}/ok"]) is df
+        with pytest.raises(ValueError):
+            integrity.assert_allowed_sources(df, ["/elsewhere"])
+
+    def test_cli(self, capsys):
+        from valora.__main__ import main
+
+        assert main(["version"]) == 0 and "valora" in capsys.readouterr().out
+        assert main(["queries"]) == 0 and "valuation" in capsys.readouterr().out
+        assert main(["nonsense"]) == 2

@@ -38,3 +38,14 @@ def safety(ann: DataFrame, answers: int = 2) -> DataFrame:
     """Records whose runs disagree too much are set apart; repeated images are noted."""
     by = ann.groupBy("record_id").agg(F.count_distinct("room_count").alias("a"), F.count(F.lit(1)).alias("images"), F.count_distinct("image_id").alias("units"))
     return by.select("record_id", F.when(F.col("a") > answers, "isolated: runs disagree").when(F.col("images") > F.col("units"), "repeated image").otherwise("kept").alias("verdict"))
+
+
+def download_verdict(log: DataFrame, domains: list[str], kinds: list[str], most: int) -> DataFrame:
+    """Checks of a download log: host on the whitelist, declared kind, size within bounds."""
+    reason = F.when(~F.col("host").isin(domains), "host not listed").when(~F.col("kind").isin(kinds), "kind not allowed").when(F.col("size") <= 0, "empty").when(F.col("size") > most, "too large")
+    return log.withColumn("verdict", F.coalesce(reason, F.lit("accepted")))
+
+
+def response_mismatches(log: DataFrame) -> DataFrame:
+    """Captured responses whose stored file has another digest than the response had."""
+    return log.where(~F.col("response_sha256").eqNullSafe(F.sha2(F.col("stored").cast("binary"), 256)))

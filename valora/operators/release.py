@@ -98,3 +98,16 @@ def reviewed(results: DataFrame, edits: DataFrame) -> DataFrame:
     """Append-only review records: the result as it was beside each edit; results are never rewritten."""
     e = edits.select(F.col("result_id").alias("__e"), "after", "reason", "reviewed_at", "rule_version")
     return results.join(e, F.col("result_id") == F.col("__e")).select("result_id", F.col("value").alias("before"), "after", "reason", "reviewed_at", "rule_version")
+
+
+def cold_start(level: Column, baseline: Column) -> Column:
+    """What a request without evidence in its own community gets: a flagged reference, or a rejection."""
+    return F.when(level == "community", "own evidence").when(baseline.isNotNull(), F.concat(F.lit("reference from "), level)).otherwise("rejected")
+
+
+def result(df: DataFrame) -> DataFrame:
+    """The complete result of each row as one struct: price, interval, status, support, limits, fingerprints."""
+    return df.select("sale_id", F.struct(
+        F.col("m1").alias("price"), F.struct("lo", "hi").alias("interval"), F.col("state").alias("status"), F.struct("n_cases", "level").alias("support"), F.col("reasons").alias("limits"),
+        F.create_map(F.lit("m1"), F.sha2(F.lit("m1").cast("binary"), 256)).alias("fingerprints"),
+    ).alias("result"))

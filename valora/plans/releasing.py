@@ -128,3 +128,15 @@ def review_records(spark, sf_dir):
     results = c.select(F.col("sale_id").alias("result_id"), F.col("m1").alias("value"))
     edits = c.where(F.col("conflicts") & (F.col("area") % 4 == 0)).select(F.col("sale_id").alias("result_id"), (F.col("m1") * 0.98).alias("after"), F.lit("site visit").alias("reason"), F.lit("2001-07-01").alias("reviewed_at"), F.lit("r1").alias("rule_version"))
     return R.reviewed(results, edits).select("result_id", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), "reason", "rule_version")
+
+
+@query("cold_start", B0_SQL + " SELECT CASE WHEN level = 'community' THEN 'own evidence' WHEN baseline IS NOT NULL THEN 'reference from ' || level ELSE 'rejected' END AS outcome, count(*) AS n FROM b0 GROUP BY 1")
+def cold_start(spark, sf_dir):
+    return b0(spark, sf_dir).groupBy(R.cold_start(F.col("level"), F.col("baseline")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("candidate_result", _GATE + " SELECT sale_id, round(m1, 6) AS price, round(CASE WHEN floors IS NOT NULL THEN m1 * 0.9 END, 6) AS lo, CASE WHEN len(reasons) > 0 THEN 'ineligible' ELSE 'priced' END AS status, community_n AS n_cases, len(reasons) AS n_limits FROM gt WHERE in_range")
+def candidate_result(spark, sf_dir):
+    g = gated(spark, sf_dir).where("in_range").withColumn("state", R.formal_state(F.lit(False), F.lit(True), F.col("in_range"), F.lit(True), F.col("reasons")))
+    r = R.result(g)
+    return r.select("sale_id", F.round("result.price", 6).alias("price"), F.round("result.interval.lo", 6).alias("lo"), "result.status", "result.support.n_cases", F.size("result.limits").alias("n_limits"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from valora.config import AS_OF, CUTOFF, EARLIER_AS_OF
-from valora.operators import census as C, evidence as V, integrity as I, joins as J
+from valora.operators import annotations as N, census as C, evidence as V, integrity as I, joins as J
 from valora.plans.registry import query
 from valora.sources.tables import SALE_SQL, day, sales, table
 
@@ -198,3 +198,33 @@ def html_listings(spark, sf_dir):
     from valora.sources.files import parse_listing
 
     return parse_listing(table(spark, sf_dir, "pages"))
+
+
+@query("download_checks", """WITH d AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, length(html) AS size, CASE WHEN page_id % 9 = 0 THEN 'image/bmp' ELSE 'text/html' END AS kind FROM pages)
+SELECT page_id, CASE WHEN NOT regexp_matches(host, 'example\\.com$') THEN 'host not listed' WHEN kind <> 'text/html' THEN 'kind not allowed' WHEN size <= 0 THEN 'empty' WHEN size > 4000 THEN 'too large' ELSE 'accepted' END AS verdict FROM d""")
+def download_checks(spark, sf_dir):
+    host = F.regexp_extract("url", r"^https?://([^/]+)/", 1)
+    log = table(spark, sf_dir, "pages").select("page_id", F.when(host.rlike(r"example\.com$"), "example.com").otherwise(host).alias("host"), F.length("html").alias("size"), F.when(F.col("page_id") % 9 == 0, "image/bmp").otherwise("text/html").alias("kind"))
+    return N.download_verdict(log, ["example.com"], ["text/html"], 4000).select("page_id", "verdict")
+
+
+@query("response_hashes", "SELECT page_id FROM pages WHERE page_id % 10 = 0")
+def response_hashes(spark, sf_dir):
+    stored = F.when(F.col("page_id") % 10 == 0, F.concat("html", F.lit("x"))).otherwise(F.col("html"))
+    log = table(spark, sf_dir, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("response_sha256"), stored.alias("stored"))
+    return N.response_mismatches(log).select("page_id")
+
+
+@query("fingerprint_rings", "SELECT s_suppkey AS item, CASE WHEN s_suppkey % 8 = 0 THEN 2 ELSE 3 END AS layers, CASE WHEN s_suppkey % 5 = 0 THEN 2 ELSE 1 END AS digests FROM supplier WHERE s_suppkey % 8 = 0 OR s_suppkey % 5 = 0")
+def fingerprint_rings(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("item"), F.md5(F.col("s_name").cast("binary")).alias("digest"))
+    other = s.withColumn("digest", F.when(F.col("item") % 5 == 0, "other").otherwise(F.col("digest")))
+    return I.rings(s, other, s.where("item % 8 <> 0"))
+
+
+@query("override_provenance", "SELECT CASE WHEN c_custkey % 6 = 0 THEN 'override' ELSE 'source' END AS provenance, count(*) AS n, round(sum(CASE WHEN c_custkey % 6 = 0 THEN c_custkey * 1.0 ELSE c_acctbal END), 2) AS total FROM customer GROUP BY 1")
+def override_provenance(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    o = c.where("c_custkey % 6 = 0").select("c_custkey", F.col("c_custkey").cast("double").alias("value"))
+    twice = I.overridden(I.overridden(c, o, "c_custkey", "c_acctbal").drop("provenance"), o.union(o), "c_custkey", "c_acctbal")
+    return twice.groupBy("provenance").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))

@@ -104,3 +104,43 @@ def register_source(registry: DataFrame, source_id: str, url: str, basis: str, m
     if registry.where(F.col("source_id") == source_id).limit(1).count():
         raise ValueError(f"source {source_id} is registered")
     return registry.unionByName(spark.createDataFrame([(source_id, url, basis, method, repeatable)], "source_id string, url string, basis string, method string, repeatable boolean"))
+
+
+def append_records(df: DataFrame, path: str) -> None:
+    """Adds rows to an append-only store; what is there stays as it is."""
+    df.write.mode("append").parquet(path)
+
+
+def read_requests(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Requests from JSON lines with an explicit schema: one, a batch, or a saved file replayed."""
+    return spark.read.schema(schema).json(path)
+
+
+def load_frozen(spark: SparkSession, path: str, schema: str, sha256: str) -> DataFrame:
+    """A frozen CSV of judgements as a build input; raises if the file is not the one that was frozen."""
+    digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+    if digest != sha256:
+        raise ValueError(f"{path} has the digest {digest}")
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def write_shard(df: DataFrame, folder: str, shard: str) -> None:
+    """One shard's rows, and after them its entry in the ledger: a shard without an entry counts as not done."""
+    df.write.mode("overwrite").parquet(f"{folder}/shards/{shard}")
+    write_json(df.sparkSession, f"{folder}/ledger/{shard}.json", {"shard": shard}, replace=True)
+
+
+def finished_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("shard string").json(f"{folder}/ledger")
+
+
+def report(title: str, tables: dict[str, DataFrame], limit: int = 200) -> str:
+    """A Markdown report of small result tables, from the tables alone; a longer table is an error, not cut."""
+    out = [f"# {title}"]
+    for name, df in tables.items():
+        rows = df.limit(limit + 1).collect()
+        if len(rows) > limit:
+            raise ValueError(f"{name} has more than {limit} rows: aggregate it first")
+        out += [f"\n## {name}\n", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+        out += ["| " + " | ".join("UNKNOWN" if v is None else str(v) for v in r) + " |" for r in rows]
+    return "\n".join(out) + "\n"
