@@ -204,6 +204,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     """One row for each of docs' rows (doc_id and text are read): doc_id, class_id, n_links, and
     n_grams, the size of the set; __id and __th name the row (the id with null last, a hash of the text), __stays is true
     for the first (__id, __th) of each class."""
+    S.small_batches(docs.sparkSession)
     bands, rows = banding(threshold, recall)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("__text"))
     sig = S.cut(keyed.mapInArrow(_signatures(bands, rows), "id long, th long, fp long, n_grams long, bands array<long>"))
@@ -236,8 +237,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     known = linked.join(classes, "node").join(nodes.select("node", "rep"), "node")
     least = known.groupBy("label").agg(F.min("rep").alias("first"))
     known = S.cut(known.join(least, "label").select("node", "links", "first"))
-    every = nodes.join(known, "node", "left").select(F.col("node").alias("__node"), F.coalesce("first", "rep").alias("__first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows_out = sig.select("id", "th", "fp", "n_grams").join(every, F.col("fp") == F.col("__node"), "left")
+    every = S.cut(nodes.join(known, "node", "left").select(F.col("node").alias("fp"), F.coalesce("first", "rep").alias("__first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    n_every, _ = S.measured(every, F.lit(0))
+    rows_out = S.attach(sig.select("id", "th", "fp", "n_grams"), every, ["fp"], 64 * n_every)
     first = F.coalesce("__first.id", "id")
     null_last = lambda c: F.when(c != _LAST, c)
     return rows_out.select(
