@@ -10,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from valora.functions import missing, parsing
-from valora.operators import census, clean, comparables, evidence, integrity, joins, metrics, models, release
+from valora.operators import census, clean, comparables, evidence, integrity, joins, metrics, models, quantiles, release
 from valora.sources import files
 
 D = dt.date
@@ -100,6 +100,16 @@ class TestEvidence:
         assert single["baseline"] == every["s51"]
 
 
+class TestQuantiles:
+    @settings(max_examples=8, deadline=None)
+    @given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.floats(-1e6, 1e6), st.just(5.0))), min_size=1, max_size=30))
+    def test_as_percentile(self, spark, rows):
+        df = spark.createDataFrame(rows, "k string, v double").coalesce(1)
+        got = {r["k"]: (r["n"], r["lo"], r["mid"]) for r in quantiles.exact_quantiles(df, ["k"], "v", {"lo": 0.1, "mid": 0.5}).collect()}
+        want = {r["k"]: (r["n"], r["lo"], r["mid"]) for r in df.where("v is not null").groupBy("k").agg(F.count("v").alias("n"), F.percentile("v", 0.1).alias("lo"), F.percentile("v", 0.5).alias("mid")).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
 class TestComparables:
     def rows(self, spark):
         return sale(spark, [make(i, 1, D(2000, 1, 1) + dt.timedelta(days=i), 100 + i, orientation="F" if i < 4 else "O") for i in range(9)] + [make(100, 2, D(2000, 1, 3), 10)])

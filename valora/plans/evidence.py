@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from valora.config import CUTOFF
 from valora.operators import evidence as V
+from valora.operators.quantiles import exact_quantiles
 from valora.plans.registry import query
 from valora.sources.tables import SALE_SQL, day, sales
 
@@ -121,3 +122,9 @@ def market_inputs(spark, sf_dir):
     s = sales(spark, sf_dir)
     train = V.rolling_median(s, "community_id").where((F.col("sale_date") < day(CUTOFF)) & F.col("rolling_median").isNotNull()).select("sale_id", F.lit("train").alias("layer"), F.round("rolling_median", 6).alias("market"))
     return train.unionByName(b0(spark, sf_dir).select("sale_id", F.lit("validate").alias("layer"), F.round("baseline", 6).alias("market")))
+
+
+@query("large_group_quantiles", _WITH + " SELECT district, count(*) AS n, round(quantile_cont(unit_price, 0.1), 6) AS p10, round(quantile_cont(unit_price, 0.5), 6) AS p50, round(quantile_cont(unit_price, 0.9), 6) AS p90 FROM sale GROUP BY 1")
+def large_group_quantiles(spark, sf_dir):
+    q = exact_quantiles(sales(spark, sf_dir), ["district"], "unit_price", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return q.select("district", "n", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")])
