@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 20
+#: Bytes or words that are hashed at once; the tables of powers stay this long.
+SEGMENT = 4 << 20
 _MULT = 0x9E3779B97F4A7C1B  # odd, 3 mod 8: x - 1 has a single factor two
 _WORD_MULT = 0xD1342543DE82EF93
 _M64 = (1 << 64) - 1
@@ -114,6 +116,18 @@ def word_hashes(data: np.ndarray, w: Words, fold: np.ndarray | None = None) -> n
     """64-bit hashes of the words' bytes, each passed through the table ``fold``."""
     if not len(w.start):
         return np.zeros(0, np.uint64)
+    if len(data) > SEGMENT and len(w.start) > 1:  # one very long text: by parts that begin with a word
+        edges = np.unique(np.append(np.searchsorted(w.start, np.arange(0, len(data), SEGMENT)), len(w.start)))
+        out = []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            a, b = w.start[lo], w.end[hi - 1]
+            part = Words(w.start[lo:hi] - a, w.end[lo:hi] - a, np.array([0, hi - lo]))
+            out.append(_hashed(data[a:b], part, fold))
+        return np.concatenate(out)
+    return _hashed(data, w, fold)
+
+
+def _hashed(data: np.ndarray, w: Words, fold: np.ndarray | None) -> np.ndarray:
     p, inv = powers(_MULT, len(data) + 1)
     table = _table if fold is None else _table[fold]
     total = np.empty(len(data) + 1, np.uint64)
@@ -129,6 +143,8 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    if n > SEGMENT:
+        return np.concatenate([windows(h[lo : min(lo + SEGMENT, n) + k - 1], k) for lo in range(0, n, SEGMENT)])
     p, inv = powers(_WORD_MULT, len(h) + 1)
     total = np.empty(len(h) + 1, np.uint64)
     total[0] = 0
@@ -154,3 +170,11 @@ def segment_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def as_text(data: np.ndarray) -> str:
     return data.tobytes().decode("utf-8", "replace")
+
+
+def place_in(h: np.ndarray, sorted_hashes: np.ndarray) -> np.ndarray:
+    """Index of each hash in the sorted ones, -1 where it isn't there."""
+    if not len(sorted_hashes):
+        return np.full(len(h), -1, np.int64)
+    at = np.minimum(np.searchsorted(sorted_hashes, h), len(sorted_hashes) - 1)
+    return np.where(sorted_hashes[at] == h, at, -1)
