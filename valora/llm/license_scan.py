@@ -12,7 +12,8 @@ share of the template's words that lie in pairs found, and by its length.
 
 PHRASES must occur whole, on one diagonal; their places are counted. NOTICES give
 labels of their own where the share is at least COVERED. score is the largest
-share of any template in the text, 1 for a phrase.
+share of any template in the text, 1 for a phrase, 0 below NOISE: single pairs of
+common words are no sign of a licence.
 
 Null texts are empty: no words, no labels (empty strings), score 0. Every input
 row gives one row. Results depend on the text alone; texts are told apart by two
@@ -25,6 +26,8 @@ import re
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from valora.llm import _spark as S
+
 # Phrases and labels asked for, and the opening words of public license notices.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 NOTICES = {
@@ -36,7 +39,7 @@ NOTICES = {
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
 }
-GAP, COVERED, STRETCH = 3, 0.8, 1.5
+GAP, COVERED, NOISE, STRETCH = 3, 0.8, 0.5, 1.5
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -89,14 +92,18 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
     hashed = docs.select("doc_id", F.xxhash64(F.lit(41), text).alias("__f1"), F.xxhash64(F.lit(42), text).alias("__f2"), text.alias("__text"))
     spans = found_spans(hashed.select("__f1", "__f2", "__text"), phrases, notices)
     base = F.col("phrase") & F.col("whole")
+    spans = spans.where(base | (~F.col("phrase") & (F.col("share") >= NOISE)))
     listed = lambda when: F.array_join(F.sort_array(F.collect_set(F.when(when, F.col("label")))), ",")
     by_text = spans.groupBy("__f1", "__f2").agg(
         F.sum(base.cast("long")).alias("n_base"), F.min(F.when(base, F.col("place").cast("long"))).alias("first_word"), F.max(F.when(base, F.col("place").cast("long"))).alias("last_word"),
         listed(base).alias("base_labels"), listed(base | (~F.col("phrase") & (F.col("share") >= COVERED))).alias("labels"),
         F.max(F.when(base, 1.0).when(F.col("phrase"), 0.0).otherwise(F.col("share"))).alias("score"),
-    ).withColumnsRenamed({"__f1": "__g1", "__f2": "__g2"})
+    )
+    # texts that have hits, written down: so that a text which a third of the rows share doesn't deal the join
+    by_text = S.cut(by_text)
+    _, nbytes = S.measured(by_text, F.octet_length("labels") + F.octet_length("base_labels") + 80)
     rows = hashed.select("doc_id", "__f1", "__f2", F.regexp_count("__text", F.lit(_WORD)).cast("long").alias("n_words"))
-    joined = rows.join(by_text, (F.col("__f1") == F.col("__g1")) & (F.col("__f2") == F.col("__g2")), "left")
+    joined = S.attach(rows, by_text, ["__f1", "__f2"], nbytes)
     return joined.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
