@@ -77,6 +77,15 @@ class TestKernel:
         assert (one[:7] == two).all() and (one[10:] == two).all() and len({*one.tolist()}) == 10
         assert len(K.windows(h, 11)) == 0
 
+    def test_long_texts_are_hashed_by_parts(self, monkeypatch):
+        batch = pa.record_batch([pa.array([LONG[:50_000]])], names=["t"])
+        _, data, offs = next(K.texts(batch, "t"))
+        w = K.words(data, offs)
+        h = K.word_hashes(data, w)
+        g = K.windows(h, 5)
+        monkeypatch.setattr(K, "SEGMENT", 100)
+        assert (K.word_hashes(data, w) == h).all() and (K.windows(h, 5) == g).all()
+
     def test_components(self, spark):
         edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (7, 7)], "a long, b long")
         assert {r["node"]: r["label"] for r in components(edges).collect()} == {2: 2, 3: 2, 4: 2, 5: 2, 8: 8, 9: 8}
@@ -154,6 +163,17 @@ class TestSubstringDedup:
         monkeypatch.setattr(S, "BROADCAST_BYTES", -1)
         assert self.got(odd) == want
 
+    def test_common_windows_change_nothing(self, spark, monkeypatch):
+        p, q = words(90, 31), words(55, 32)
+        rows = [(i, f"{words(i % 7 + 60, 40 + i)} {p if i % 2 else q} {words(5, 90 + i)}") for i in range(60)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        want = self.brute(rows)
+        for least in (3, 10_000):
+            monkeypatch.setattr(substring_dedup, "COMMON_LEAST", least)
+            assert self.got(df) == want
+            sizes = {k: len(v) for k, v in substring_dedup.common_windows(substring_dedup._keyed(df), 60).items()}
+            assert (min(sizes.values()) > 0) == (least == 3)
+
     def test_empty_and_clashing(self, spark, empty, odd):
         assert self.got(empty) == []
         clash = odd.withColumns({"lo": F.lit(1), "id": F.lit("q"), "n_words": F.lit(3)})
@@ -437,7 +457,7 @@ class TestLmScore:
         plain = sentencepiece.SentencePieceProcessor(model_file=MODEL)
         for _, data, offs in K.texts(batch, "t"):
             w = K.words(data, offs)
-            ids, at = tokens.sequences(data, w, K.word_hashes(data, w, K.LOWER))
+            ids, at, _ = tokens.sequences(data, w, K.word_hashes(data, w, K.LOWER))
             for k, t in enumerate(values):
                 assert ids[at[k] : at[k + 1]].tolist() == [i for x in SPACED.findall(lowered(t)) for i in plain.encode(x)] + [lm_score.END]
 

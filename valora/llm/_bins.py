@@ -16,11 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from valora.llm import _kernel as K
 
-PACKED = "bin int, flush long, ids binary, fps binary, runs binary, pos binary, hash binary"
+PACKED = "bin long, flush long, ids binary, fps binary, runs binary, pos binary, hash binary"
 FOUND = "flush long, ids binary, fps binary, runs binary, pos binary"
 #: Bytes of entries that a bin should have; entries of a flush, at least and at most, and for each bin.
 BIN_BYTES = 12 << 20
@@ -32,10 +32,12 @@ def bins_for(nbytes: int, least: int = 12) -> int:
 
 
 class Packer:
-    """Collects entries and packs them into rows by bin once there are enough."""
+    """Collects entries and packs them into rows by bin once there are enough. With ``sure``, its entries are
+    known to match: each flush is a bin by itself, with a negative number, whose entries all match."""
 
-    def __init__(self, n_bins: int, hash_dtype):
-        self.n_bins, self.dtype, self.enough = n_bins, hash_dtype, min(FLUSH_MOST, max(FLUSH, FLUSH_PER_BIN * n_bins))
+    def __init__(self, n_bins: int, hash_dtype, sure: bool = False):
+        self.n_bins, self.dtype, self.sure = 1 if sure else n_bins, hash_dtype, sure
+        self.enough = min(FLUSH_MOST, max(FLUSH, FLUSH_PER_BIN * self.n_bins))
         self.clear()
 
     def clear(self) -> None:
@@ -71,10 +73,10 @@ class Packer:
                 at = np.flatnonzero(np.diff(d, prepend=-1))
                 of = d[at]
                 runs = np.diff(np.append(at, len(d))).astype(np.uint32)
-                for col, x in zip(rows, (int(b), np.diff(ids[of], prepend=0).tobytes(), fps[of].tobytes(), runs.tobytes(), pos[part].astype(kind).tobytes(), h[part].tobytes()), strict=True):
+                for col, x in zip(rows, (-1 - (name & (1 << 62) - 1) if self.sure else int(b), np.diff(ids[of], prepend=0).tobytes(), fps[of].tobytes(), runs.tobytes(), pos[part].astype(kind).tobytes(), h[part].tobytes()), strict=True):
                     col.append(x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.int32()), pa.array(np.full(len(rows[0]), name)), *[pa.array(x, pa.binary()) for x in rows[1:]]], names=["bin", "flush", "ids", "fps", "runs", "pos", "hash"]
+                [pa.array(rows[0], pa.int64()), pa.array(np.full(len(rows[0]), name)), *[pa.array(x, pa.binary()) for x in rows[1:]]], names=["bin", "flush", "ids", "fps", "runs", "pos", "hash"]
             )
         self.clear()
 
@@ -126,7 +128,7 @@ def matched(packed: DataFrame, hash_dtype, decide: Callable[[Entries], np.ndarra
 
     def run(table: pa.Table) -> pa.Table:
         e = unpack(table, hash_dtype)
-        return named(e, decide(e))
+        return named(e, np.arange(len(e.doc)) if table.column("bin")[0].as_py() < 0 else decide(e))
 
     return packed.groupBy("bin").applyInArrow(run, FOUND)
 
@@ -154,4 +156,9 @@ def spans(found: DataFrame, before: int, after: int) -> DataFrame:
         return pa.table({"id": pa.array(ids[one]), "fp": pa.array(fps[one]), "lo": packed(a), "hi": packed(z)})
 
     by_flush = found.groupBy("flush").applyInArrow(run, "id long, fp int, lo binary, hi binary")
-    return by_flush.dropDuplicates(["id", "fp"])  # rows repeated as they are, in other flushes
+    # a document has several rows here only if its row is repeated, or if a lost task was run again over rows
+    # in another order; their spans add up
+    parts = by_flush.groupBy("id", "fp").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
+    nothing = F.lit(b"")
+    lo, hi = F.aggregate("parts", nothing, lambda a, x: F.concat(a, x["lo"])), F.aggregate("parts", nothing, lambda a, x: F.concat(a, x["hi"]))
+    return parts.select("id", "fp", lo.alias("lo"), hi.alias("hi"))

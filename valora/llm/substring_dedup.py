@@ -9,7 +9,11 @@ repeated windows are the maximal exact repeats. Of equal windows, those in the
 document with the smallest id stay.
 
 Copies of a whole text are found first, by two hashes of it, so that a text that
-a third of the rows share has its anchors in the bins once.
+a third of the rows share has its anchors in the bins once. Windows that many
+documents of a bounded sample share (COMMON of its documents at least) do not go
+to bins either, where each would be one task's: as anchors they are taken as
+matching without being probed, and of whole windows the smallest id is found by
+one minimum per task. Which windows these are changes no result.
 
 Null texts are empty and have no words. Texts under WINDOW words lose nothing. A
 null id counts as larger than any other; rows of one id do not remove each
@@ -25,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from valora.llm import _bins as B, _kernel as K, _spark as S
 
 WINDOW, BLOCK_WORDS = 50, 25
+#: Documents of the sample, the share and number of them that make a window common, and windows kept so.
+SAMPLE, COMMON, COMMON_LEAST, COMMON_MOST = 6000, 0.005, 20, 65_536
 _LAST = (1 << 63) - 1
 
 
@@ -40,9 +46,36 @@ def _rows(rows: pa.RecordBatch, name: str) -> np.ndarray:
     return rows.column(rows.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-def _anchors(n_bins: int):
+def _common(batches):
+    """Anchors and whole windows that occur twice or more in a task's part of the sample."""
+    found: dict[int, list[np.ndarray]] = {BLOCK_WORDS: [], WINDOW: []}
+    for _, data, offs in K.blocks(batches, "__text"):
+        w = K.words(data, offs)
+        h = K.word_hashes(data, w)
+        for size, parts in found.items():
+            parts.append(K.windows(h, size)[K.starts(w.at, size)[0]])
+    for size, parts in found.items():
+        h, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        keep = n > 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), size)), pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["size", "window", "n"])
+
+
+def common_windows(first: DataFrame, n_rows: int) -> dict[int, np.ndarray]:
+    """Sorted hashes of common anchors and whole windows, COMMON_MOST of each at most."""
+    few = int(min(1.0, SAMPLE / max(n_rows, 1)) * (1 << 30))
+    sample = first.where(F.pmod(F.xxhash64(F.lit(13), "__id", "__fp"), F.lit(1 << 30)) <= few).select("__text")
+    counts = sample.mapInArrow(_common, "size long, window long, n long").groupBy("size", "window").agg(F.sum("n").alias("n"))
+    counts = counts.where(F.col("n") >= max(COMMON_LEAST, int(COMMON * min(SAMPLE, n_rows))))
+    out = {}
+    for size in (BLOCK_WORDS, WINDOW):
+        rows = counts.where(F.col("size") == size).orderBy(F.desc("n"), "window").limit(COMMON_MOST).collect()
+        out[size] = np.sort(np.array([r["window"] for r in rows], np.int64).view(np.uint64))
+    return out
+
+
+def _anchors(n_bins: int, common):
     def run(batches):
-        packer = B.Packer(n_bins, np.uint32)
+        packer, sure = B.Packer(n_bins, np.uint32), B.Packer(n_bins, np.uint32, sure=True)
         for rows, data, offs in K.blocks(batches, "__text"):
             w = K.words(data, offs)
             counts = w.counts
@@ -51,8 +84,11 @@ def _anchors(n_bins: int):
             doc = np.repeat(np.arange(len(counts)), np.diff(where))
             long = counts[doc] >= WINDOW
             idx, doc = idx[long], doc[long]
-            yield from packer.add(_rows(rows, "__id"), _rows(rows, "__fp"), doc, idx - w.at[doc], h[idx])
+            is_common = K.place_in(h[idx], common.value) >= 0
+            for to, part in ((packer, ~is_common), (sure, is_common)):
+                yield from to.add(_rows(rows, "__id"), _rows(rows, "__fp"), doc[part], (idx - w.at[doc])[part], h[idx[part]])
         yield from packer.flush()
+        yield from sure.flush()
 
     return run
 
@@ -70,16 +106,43 @@ def _anchored(e: B.Entries) -> np.ndarray:
     return order[(ids > least) | (block & (ids < most))]
 
 
-def _windows(n_bins: int):
+def _placed(batches):
+    """Rows of a block with the hash, text and position of each whole window around their anchors."""
+    for rows, data, offs in K.blocks(batches, "__text"):
+        w = K.words(data, offs)
+        h = K.windows(K.word_hashes(data, w), WINDOW)
+        doc, pos = _inside(rows, w.counts - WINDOW + 1)
+        yield rows, doc, pos, h[w.at[doc] + pos]
+
+
+def _smallest(common):
+    """The smallest id that each common window has in a task."""
+
     def run(batches):
-        packer = B.Packer(n_bins, np.uint64)
-        for rows, data, offs in K.blocks(batches, "__text"):
-            w = K.words(data, offs)
-            n = w.counts - WINDOW + 1
-            h = K.windows(K.word_hashes(data, w), WINDOW)
-            doc, pos = _inside(rows, n)
-            yield from packer.add(_rows(rows, "__id"), _rows(rows, "__fp"), doc, pos, h[w.at[doc] + pos])
+        least = np.full(len(common.value), _LAST)
+        seen = np.zeros(len(least), bool)
+        for rows, doc, _, h in _placed(batches):
+            place = K.place_in(h, common.value)
+            np.minimum.at(least, place[place >= 0], _rows(rows, "__id")[doc[place >= 0]])
+            seen[place[place >= 0]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen)), pa.array(least[seen])], names=["place", "id"])
+
+    return run
+
+
+def _windows(n_bins: int, common, smallest):
+    def run(batches):
+        packer, sure = B.Packer(n_bins, np.uint64), B.Packer(n_bins, np.uint64, sure=True)
+        for rows, doc, pos, h in _placed(batches):
+            ids, fps = _rows(rows, "__id"), _rows(rows, "__fp")
+            place = K.place_in(h, common.value)
+            rare = place < 0
+            later = np.zeros(len(h), bool)
+            later[~rare] = ids[doc[~rare]] > smallest.value[place[~rare]]
+            for to, part in ((packer, rare), (sure, later)):
+                yield from to.add(ids, fps, doc[part], pos[part], h[part])
         yield from packer.flush()
+        yield from sure.flush()
 
     return run
 
@@ -154,18 +217,24 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     texts = S.cut(
         keyed.groupBy("__fp1", "__fp2").agg(F.min("__id").alias("least"), F.count(F.lit(1)).alias("n"), F.max(F.octet_length("__text")).cast("long").alias("size"))
     )
-    _, nbytes = S.measured(texts, "size")
+    n_texts, nbytes = S.measured(texts, "size")
     several = texts.where("n > 1").select(F.col("__fp1").alias("fp"), F.col("__fp2").alias("fp2"), "least")
     copies = keyed.select("__id", "__fp", "__fp1", "__fp2").join(several, (F.col("__fp1") == F.col("fp")) & (F.col("__fp2") == F.col("fp2")) & (F.col("__id") > F.col("least")))
     copies = S.cut(copies.select("__id", "__fp").distinct())
     n_copies, _ = S.measured(copies, F.lit(0))
     first = S.attach(keyed.select(*slim), copies, ["__id", "__fp"], 40 * n_copies, "left_anti")
 
-    found = B.matched(first.mapInArrow(_anchors(B.bins_for(nbytes)), B.PACKED), np.uint32, _anchored)
+    send = docs.sparkSession.sparkContext.broadcast
+    common = {size: send(hashes) for size, hashes in common_windows(first, n_texts).items()}
+    found = B.matched(first.mapInArrow(_anchors(B.bins_for(nbytes), common[BLOCK_WORDS]), B.PACKED), np.uint32, _anchored)
     near = S.cut(B.spans(found, BLOCK_WORDS, 1).withColumnsRenamed({"id": "__id", "fp": "__fp"}))
     n_near, near_bytes = S.measured(near, F.octet_length("lo") * 2 + 60)
     around = S.attach(first, near.withColumnsRenamed({"lo": "__lo", "hi": "__hi"}), ["__id", "__fp"], near_bytes, "inner")
-    repeats = B.matched(around.mapInArrow(_windows(B.bins_for(nbytes // 2)), B.PACKED), np.uint64, _repeated)
+    smallest = np.full(len(common[WINDOW].value), _LAST)
+    if len(smallest):
+        for row in around.mapInArrow(_smallest(common[WINDOW]), "place long, id long").groupBy("place").agg(F.min("id").alias("id")).collect():
+            smallest[row["place"]] = row["id"]
+    repeats = B.matched(around.mapInArrow(_windows(B.bins_for(nbytes // 2), common[WINDOW], send(smallest)), B.PACKED), np.uint64, _repeated)
     removed = S.cut(
         B.spans(repeats, 0, WINDOW).select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), "lo", "hi", F.lit(False).alias("whole"))
         .unionByName(copies.select("__id", "__fp", F.lit(None).cast("binary").alias("lo"), F.lit(None).cast("binary").alias("hi"), F.lit(True).alias("whole")))
