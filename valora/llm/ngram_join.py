@@ -237,9 +237,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     known = linked.join(classes, "node").join(nodes.select("node", "rep"), "node")
     least = known.groupBy("label").agg(F.min("rep").alias("first"))
     known = S.cut(known.join(least, "label").select("node", "links", "first"))
-    every = S.cut(nodes.join(known, "node", "left").select(F.col("node").alias("fp"), F.coalesce("first", "rep").alias("__first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    # nodes that are alone, most of them, need no row: their documents are a class each
+    several = nodes.join(known, "node", "left").where((F.col("copies") > 1) | F.col("first").isNotNull())
+    every = S.cut(several.select(F.col("node").alias("fp"), F.coalesce("first", "rep").alias("__first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     n_every, _ = S.measured(every, F.lit(0))
-    rows_out = S.attach(sig.select("id", "th", "fp", "n_grams"), every, ["fp"], 64 * n_every)
+    rows_out = S.attach(sig.select("id", "th", "fp", "n_grams"), every, ["fp"], 120 * n_every)
     first = F.coalesce("__first.id", "id")
     null_last = lambda c: F.when(c != _LAST, c)
     return rows_out.select(
