@@ -501,6 +501,20 @@ class TestMediaChunks:
 
 
 class TestPipeline:
+    def test_odd_rows_and_extra_columns(self, spark, odd, empty, tmp_path):
+        import corpus_pipeline as C
+
+        wide = odd.withColumns({"a.b": F.lit(1), "id": F.lit("x"), "lo": F.col("doc_id"), "hash": F.lit(2.0), "words": F.array(F.lit(1))})
+        spark.createDataFrame([(1, 1, 0), (2, 1, 0), (7, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+        spark.createDataFrame([(1, words(40, 77)), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+        for first in (wide, wide.limit(0)):
+            docs = first
+            for _, stage in C.STAGES[:-1]:
+                out = S.cut(stage(spark, docs, str(tmp_path)))
+                assert out.columns == wide.columns and out.count() <= docs.count()
+                docs = out
+            assert C.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
     def test_stages(self, spark):
         import corpus_pipeline as C
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -46,12 +45,9 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_hash(seed: int, *columns) -> F.Column:
-    return F.xxhash64(F.lit(seed), *columns)
-
-
-def text_or_empty(name: str = "text") -> F.Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def every(df: DataFrame) -> list:
+    """df's columns, also those with dots in their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
 
 
 def crc_mod(column, n: int) -> F.Column:
@@ -59,10 +55,6 @@ def crc_mod(column, n: int) -> F.Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def py_crc_mod(value, n: int) -> int:
-    return zlib.crc32(("" if value is None else str(value)).encode()) % n
-
-
 def measured(df: DataFrame, size) -> tuple[int, int]:
     """Rows and bytes (by the given column) of a checkpointed table."""
     rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()

@@ -137,6 +137,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document of docs (doc_id, text) and text of benchmark (item_id, text) that overlap:
     doc_id, item_id, n_items, item_words, same_words, first_word, overlap; __th is a hash of the document's text."""
     spark = docs.sparkSession
+    S.small_batches(spark)
     words = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(_item_words, "item_id long, words binary")
     items = words.where(F.octet_length("words") >= 8 * LEAST_WORDS).groupBy("words").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"))
     items = S.cut(items.withColumn("item", F.monotonically_increasing_id()))

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from valora.llm import _kernel as K, _spark as S
 
@@ -184,9 +184,11 @@ def score(docs: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
             p = sent.value.predict(statistics(data, offs))
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(p)], names=[*rows.schema.names[:-1], "__score"])
 
-    slim = docs.select(*[F.col(c) for c in keep], F.coalesce("text", F.lit("")).alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    return slim.mapInArrow(run, f"{kinds}, __score double")
+    S.small_batches(docs.sparkSession)
+    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias("__text"))
+    plain = [f"__c{k}" for k in range(len(keep))]  # Arrow functions don't take names with dots
+    out = T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(plain, slim.schema.fields, strict=False)], T.StructField("__score", T.DoubleType())])
+    return slim.toDF(*plain, "__text").mapInArrow(run, out).toDF(*keep, "__score")
 
 
 def held_out(column="doc_id"):
@@ -197,7 +199,7 @@ def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs with a score of ACCEPT or more, by trees that learn from the labelled rows
     that are not held out."""
     trees = train(docs.select("doc_id", "text").where(~held_out()), labels.where(~held_out()))
-    return score(docs, trees, docs.columns).where(F.col("__score") >= ACCEPT).select(*docs.columns)
+    return score(docs, trees, docs.columns).where(F.col("__score") >= ACCEPT).select(*S.every(docs))
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

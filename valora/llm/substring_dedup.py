@@ -241,9 +241,11 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     )
     _, removed_bytes = S.measured(removed, F.coalesce(F.octet_length("lo") * 2, F.lit(0)) + 60)
     full = S.attach(keyed, removed.withColumnsRenamed({"lo": "__lo", "hi": "__hi", "whole": "__whole"}), ["__id", "__fp"], removed_bytes)
-    full = full.select(*docs.columns, "__text", "__lo", "__hi", F.coalesce("__whole", F.lit(False)).alias("__whole"))
-    out = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__kept", T.StringType())])
-    return full.mapInArrow(_kept(docs.columns), out)
+    full = full.select(*S.every(docs), "__text", "__lo", "__hi", F.coalesce("__whole", F.lit(False)).alias("__whole"))
+    plain = [f"__c{k}" for k in range(len(docs.columns))]  # Arrow functions don't take names with dots
+    out = T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(plain, docs.schema.fields, strict=True)], T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__kept", T.StringType())])
+    done = full.toDF(*plain, "__text", "__lo", "__hi", "__whole").mapInArrow(_kept(plain), out)
+    return done.toDF(*docs.columns, "__n_words", "__n_removed", "__kept")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -252,7 +254,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     done = dedup_substrings(docs).where("__n_removed = 0 or __n_removed < __n_words").withColumn("text", F.when(F.col("__n_removed") > 0, F.col("__kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    return done.select(*S.every(docs))
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
