@@ -124,18 +124,21 @@ def _stored(batches):
 
 def store_media(docs: DataFrame) -> DataFrame:
     """The media store of docs' texts (doc_id and text are read): a row for each input row."""
+    S.small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.lit(21), text).alias("fp"), F.xxhash64(F.lit(22), text).alias("fp2"), text.alias("__text")
     )
     chunks = S.cut(keyed.mapInArrow(_digests, "digest binary, id long, fp long, fp2 long, ord int"))
     heads = chunks.where("ord = 0")
-    several = heads.groupBy("fp", "fp2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("fp").alias("f"), F.col("fp2").alias("f2"), "least")
-    copies = S.cut(heads.join(several, (F.col("fp") == F.col("f")) & (F.col("fp2") == F.col("f2")) & (F.col("id") > F.col("least"))).select("id", "fp", "fp2").distinct())
+    several = S.cut(heads.groupBy("fp", "fp2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    n_several, _ = S.measured(several, F.lit(0))
+    copies = S.cut(S.attach(heads.select("id", "fp", "fp2"), several, ["fp", "fp2"], 72 * n_several, "inner").where("id > least").select("id", "fp", "fp2").distinct())
     n_copies, _ = S.measured(copies, F.lit(0))
     whole = S.attach(chunks, copies.select("id", "fp", "fp2"), ["id", "fp", "fp2"], 48 * n_copies, "left_anti")
-    shared = whole.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "fp", "fp2", "ord")).alias("owner")).where("n > 1").select(F.col("digest").alias("d"), "owner")
-    parts = whole.join(shared, F.col("digest") == F.col("d"))
+    shared = S.cut(whole.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "fp", "fp2", "ord")).alias("owner")).where("n > 1").drop("n"))
+    n_shared, _ = S.measured(shared, F.lit(0))
+    parts = S.attach(whole, shared, ["digest"], 160 * n_shared, "inner")
     owns = (F.col("id") == F.col("owner.id")) & (F.col("fp") == F.col("owner.fp")) & (F.col("fp2") == F.col("owner.fp2")) & (F.col("ord") == F.col("owner.ord"))
     lists = parts.withColumn("owns", owns).groupBy("id", "fp", "fp2").agg(F.collect_set(F.when(~F.col("owns"), F.col("ord"))).alias("foreign"), F.collect_set(F.when(F.col("owns"), F.col("ord"))).alias("given"))
     lists = lists.select("id", "fp", "fp2", F.lit(False).alias("copy"), "foreign", "given")
@@ -258,7 +261,8 @@ def read_media(media: DataFrame) -> DataFrame:
     size = kept.where(partial).agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     groups = max(12, -(-size // GROUP_BYTES))
     joined = lists.unionByName(parts).withColumn("part", F.pmod(F.xxhash64("id", "fp", "fp2"), F.lit(groups))).groupBy("part").applyInArrow(_assembled, _FEATURES)
-    features = whole.unionByName(joined).dropDuplicates(["fp", "fp2"]).withColumnsRenamed({"fp": "f", "fp2": "f2"})
+    # as many features as texts: both sides are dealt by text, and written first so that a hot text can be split
+    features = S.cut(whole.unionByName(joined).dropDuplicates(["fp", "fp2"])).withColumnsRenamed({"fp": "f", "fp2": "f2"})
     rows = media.select("id", "fp", "fp2", "n_bytes").join(features, (F.col("fp") == F.col("f")) & (F.col("fp2") == F.col("f2")))
     return rows.drop("fp", "fp2", "f", "f2")
 
