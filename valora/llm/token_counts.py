@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from valora.llm import _kernel as K
+from valora.llm import _kernel as K, _spark as S
 
 #: Units kept by a worker before its table starts anew; bytes of one batch to encode.
 CACHE_UNITS, BATCH_BYTES = 400_000, 1 << 18
@@ -91,12 +91,23 @@ class Counter:
         return [sum(map(get, units)) for units in split]
 
 
+_counters: dict[str, Counter] = {}
+
+
+def counter_of(path: str) -> Counter:
+    """The worker's counter for a file: its units outlive a task, as the worker does."""
+    if path not in _counters:
+        _counters[path] = Counter(path)
+    return _counters[path]
+
+
 def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns, n_bytes (UTF-8) and n_tokens of every row. ``path`` is readable on every executor."""
+    S.small_batches(docs.sparkSession)
     kept = docs.select(*[F.col(k) for k in keep], F.col(text).alias("__text"))
 
     def run(batches):
-        counter = Counter(path)
+        counter = counter_of(path)
         for rows, data, offs in K.blocks(batches, "__text"):
             texts = [K.as_text(data[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
