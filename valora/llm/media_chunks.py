@@ -252,7 +252,7 @@ def read_media(media: DataFrame) -> DataFrame:
     whole = kept.where(~partial).select("fp", "fp2", "lens", "digests", "own").mapInArrow(_complete, _FEATURES)
     lists = kept.where(partial).select("id", "fp", "fp2", "lens", "digests", "foreign", "own")
     given = kept.where(F.size("given") > 0).select("lens", "digests", "foreign", "given", "own").mapInArrow(_given, "digest binary, raw binary")
-    given = given.groupBy(F.col("digest").alias("d")).agg(F.first("raw").alias("raw"))  # repeated rows own the same
+    given = S.cut(given.groupBy(F.col("digest").alias("d")).agg(F.first("raw").alias("raw")))  # repeated rows own the same
     needed = lists.select("id", "fp", "fp2", "lens", "digests", "foreign").distinct().mapInArrow(_needed, "digest binary, id long, fp long, fp2 long, ord int")
     parts = needed.join(given, F.col("digest") == F.col("d")).select("id", "fp", "fp2", "ord", "raw")
     nothing, none = F.lit(None).cast("binary"), F.lit(None).cast("array<int>")
