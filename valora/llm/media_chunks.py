@@ -32,6 +32,8 @@ from valora.llm import _kernel as K, _spark as S
 
 FRAME, FILL = 576, 255
 BITS, LEAST, MOST = 9, 128, 4096
+#: Bytes of a digest by which equal chunks are looked for; what is read back is compared with the whole digest.
+NAME = 16
 #: Bytes to assemble in one group.
 GROUP_BYTES = 16 << 20
 _LAST = (1 << 63) - 1
@@ -99,7 +101,7 @@ def _digests(batches):
         for k, (_, _, found) in enumerate(_chunked(data, offs)):
             of += [k] * len(found)
             ords += range(len(found))
-            digests += found
+            digests += [d[:NAME] for d in found]
         of = np.array(of, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids[of]), pa.array(fps[of]), pa.array(fp2s[of]), pa.array(ords, pa.int32())], names=["digest", "id", "fp", "fp2", "ord"])
 
@@ -262,7 +264,9 @@ def read_media(media: DataFrame) -> DataFrame:
     groups = max(12, -(-size // GROUP_BYTES))
     joined = lists.unionByName(parts).withColumn("part", F.pmod(F.xxhash64("id", "fp", "fp2"), F.lit(groups))).groupBy("part").applyInArrow(_assembled, _FEATURES)
     # as many features as texts: both sides are dealt by text, and written first so that a hot text can be split
-    features = S.cut(whole.unionByName(joined).dropDuplicates(["fp", "fp2"])).withColumnsRenamed({"fp": "f", "fp2": "f2"})
+    found = whole.unionByName(joined)
+    again = kept.groupBy("id", "fp", "fp2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    features = S.cut(found.dropDuplicates(["fp", "fp2"]) if again else found).withColumnsRenamed({"fp": "f", "fp2": "f2"})  # rows repeated as they are
     rows = media.select("id", "fp", "fp2", "n_bytes").join(features, (F.col("fp") == F.col("f")) & (F.col("fp2") == F.col("f2")))
     return rows.drop("fp", "fp2", "f", "f2")
 
