@@ -30,7 +30,7 @@ from valora.llm import _kernel as K, _spark as S
 MASKS = ((0, 1, 2, 4, 7, 10), (0, 3, 7, 8, 9, 10), (0, 4, 5, 6, 8, 10))
 SPAN, WINDOW, SAME, LEAST_WORDS = 11, 13, 0.8, 5
 #: Bits of the bitmap of benchmark hashes, as a power of two.
-BITMAP_BITS = 26
+BITMAP_BITS = 24
 
 OTHER = np.ones(256, bool)
 OTHER[0x30:0x3A] = OTHER[0x41:0x5B] = OTHER[0x61:0x7B] = OTHER[0x80:] = False
@@ -72,10 +72,11 @@ def _item_seeds(batches):
 
 
 def _bitmap(batches):
-    bits = np.zeros(1 << BITMAP_BITS, bool)
+    bits = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     for batch in batches:
-        bits[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+        at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+        np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
+    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
 
 def _hits(bitmap, short: list[int]):
