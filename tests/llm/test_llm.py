@@ -448,6 +448,19 @@ class TestLmScore:
         assert a > 0.7 * b
         assert lm_score.score(empty, MODEL, model).count() == 0
 
+    def test_every_training_window_is_learned(self, spark, monkeypatch):
+        df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+        monkeypatch.setattr(lm_score, "SAMPLE", 5)
+        monkeypatch.setattr(lm_score, "STEPS", 20)
+        model = lm_score.fit(df, MODEL)
+        got = lm_score.score(df, MODEL, model)
+        assert model.learned == got.agg(F.sum(F.ceil(F.col("n_pieces") / lm_score.STEP))).first()[0]
+        few = lm_score.fit(df, MODEL)
+        monkeypatch.setattr(lm_score, "LATER_RATE", 0.0)
+        start = lm_score.fit(df, MODEL)
+        a, b = (lm_score.score(df, MODEL, m).agg(F.sum("score")).first()[0] for m in (few, start))
+        assert a > b
+
     def test_word_table(self):
         import sentencepiece
 
