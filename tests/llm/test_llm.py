@@ -448,6 +448,10 @@ class TestLmScore:
         assert a > 0.7 * b
         assert lm_score.score(empty, MODEL, model).count() == 0
 
+    def test_ids_ranked_under_212_have_their_own_class(self):
+        m = lm_score.Attention(np.arange(3000, 0, -1), np.zeros(3000, bool))
+        assert m.cls[:212].tolist() == list(range(212)) and m.cls[212:].min() >= 212
+
     def test_every_training_window_is_learned(self, spark, monkeypatch):
         df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
         monkeypatch.setattr(lm_score, "SAMPLE", 5)
