@@ -25,3 +25,8 @@ def test_entry(spark):
 
     assert entry.entry(spark).limit(1).count() == 1
     assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_sale_is_a_target(spark, duck):
+    n = duck.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+    assert registry.QUERIES["valuation_all"](spark, SF).count() == registry.QUERIES["relaxation_ladder_all"](spark, SF).count() == n
