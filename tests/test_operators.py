@@ -79,6 +79,12 @@ class TestEvidence:
         got = {r["sale_id"]: (r["rolling_median"], r["rolling_n"]) for r in evidence.rolling_median(s, "community_id").collect()}
         assert got == {"s1": (None, 0), "s2": (None, 0), "s3": (200.0, 2), "s4": (500.0, 1)}  # 366 days after the first two
 
+    def test_rolling_fallback_takes_the_block(self, spark):
+        day = lambda n: dt.date(2000, 1, 1) + dt.timedelta(n)
+        s = spark.createDataFrame([("a", 1, "x", day(0), 10.0), ("b", 1, "x", day(9), 20.0), ("c", 2, "x", day(9), 99.0), ("d", 2, "x", day(900), 5.0)], "sale_id string, community_id long, block string, sale_date date, unit_price double")
+        got = {r["sale_id"]: r["baseline"] for r in evidence.rolling_fallback(s, s).collect()}
+        assert got == {"a": None, "b": 10.0, "c": 10.0, "d": None}
+
     def test_fallback_levels(self, spark):
         s = sale(spark, [make(1, 1, D(2000, 1, 1), 100, block="x"), make(2, 2, D(2000, 1, 5), 300, block="x"), make(3, 3, D(2000, 1, 5), 900, block="y")])
         t = sale(spark, [make(7, 1, D(2000, 2, 1), 1, block="x"), make(8, 9, D(2000, 2, 1), 1, block="x"), make(9, 9, D(2000, 2, 1), 1, block="z"), ("s10", 9, "z", "other", D(2000, 2, 1), 1.0, 1.0, 1.0, "F", "A", 1)])

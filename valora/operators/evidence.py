@@ -42,6 +42,21 @@ def rolling_median(sales: DataFrame, key: str, days: int = PARAMS.evidence_days)
     return sales.withColumns({"rolling_median": F.percentile("unit_price", 0.5).over(w), "rolling_n": F.count(F.lit(1)).over(w)})
 
 
+def rolling_fallback(targets: DataFrame, sales: DataFrame, days: int = PARAMS.evidence_days) -> DataFrame:
+    """targets with the median of their community's sales in the ``days`` before their own date, or of their block's
+    where there are none. Blocks are large, so each date that is asked for is worked out once."""
+    out = targets
+    for level in ("community", "block"):
+        key, name = KEYS[level], f"{level}_median"
+        need = out if level == "community" else out.where(F.col("community_median").isNull())
+        asked = need.select(F.col(key).alias("__k"), F.col("sale_date").alias("__d")).distinct()
+        s = sales.select(F.col(key).alias("__sk"), F.col("sale_date").alias("__sd"), "unit_price")
+        m = asked.join(s, (F.col("__k") == F.col("__sk")) & (F.col("__sd") < F.col("__d")) & (F.col("__sd") >= F.date_sub("__d", days)))
+        m = m.groupBy("__k", "__d").agg(F.percentile("unit_price", 0.5).alias(name))
+        out = out.join(m, (F.col(key) == F.col("__k")) & (F.col("sale_date") == F.col("__d")), "left").drop("__k", "__d")
+    return out.withColumn("baseline", F.coalesce("community_median", "block_median"))
+
+
 def pool(targets: DataFrame, sales: DataFrame, days: int | None = None) -> DataFrame:
     """Pairs of a target and an earlier sale of its community: target_id, target_date and the sale's columns."""
     t = targets.select(F.col("sale_id").alias("target_id"), F.col("community_id").alias("target_community"), F.col("sale_date").alias("target_date"))
