@@ -79,6 +79,13 @@ class TestEvidence:
         got = {r["sale_id"]: (r["rolling_median"], r["rolling_n"]) for r in evidence.rolling_median(s, "community_id").collect()}
         assert got == {"s1": (None, 0), "s2": (None, 0), "s3": (200.0, 2), "s4": (500.0, 1)}  # 366 days after the first two
 
+    def test_full_envelope_draws_2000_without_cap(self, spark):
+        u = spark.createDataFrame([(0.5,), (0.995,), (0.9999,), (1 - 2**-31,)], "u double")
+        assert [r[0] for r in u.select(metrics.poisson_full(F.col("u"))).collect()] == [1, 4, 6, 12]
+        d = spark.createDataFrame([(k, float(k % 5)) for k in range(40)], "home long, d double")
+        got = metrics.bootstrap(d, "home", "d", 2000, 20260914, metrics.poisson_full).toPandas()
+        assert len(got) == 2000
+
     def test_rolling_fallback_takes_the_block(self, spark):
         day = lambda n: dt.date(2000, 1, 1) + dt.timedelta(n)
         s = spark.createDataFrame([("a", 1, "x", day(0), 10.0), ("b", 1, "x", day(9), 20.0), ("c", 2, "x", day(9), 99.0), ("d", 2, "x", day(900), 5.0)], "sale_id string, community_id long, block string, sale_date date, unit_price double")

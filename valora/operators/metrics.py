@@ -6,6 +6,8 @@ denominator as not covered.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from valora.config import PARAMS, Params
@@ -73,12 +75,21 @@ def poisson_count(u: Column) -> Column:
     return F.when(u < 0.36787944117144233, 0).when(u < 0.7357588823428847, 1).when(u < 0.9196986029286058, 2).when(u < 0.9810118431238462, 3).otherwise(4)
 
 
-def bootstrap(df: DataFrame, unit: str, value: str, replicates: int, seed: int) -> DataFrame:
+#: P(count <= k); beyond the last one there is no draw, as they are multiples of 2 ** -31.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(13)]
+
+
+def poisson_full(u: Column) -> Column:
+    """As poisson_count, without its cap at four."""
+    return sum(((u >= c).cast("int") for c in POISSON), F.lit(0))
+
+
+def bootstrap(df: DataFrame, unit: str, value: str, replicates: int, seed: int, times=poisson_count) -> DataFrame:
     """Replicate means of a paired difference, units drawn with replacement. Units are added up first, so
     that the replicates multiply units and not rows."""
     by = df.groupBy(F.col(unit).alias("unit")).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
     drawn = by.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = drawn.withColumn("times", poisson_count(draw(F.col("unit"), F.col("replicate"), seed)))
+    drawn = drawn.withColumn("times", times(draw(F.col("unit"), F.col("replicate"), seed)))
     return drawn.groupBy("replicate").agg((F.sum(F.col("times") * F.col("total")) / F.sum(F.col("times") * F.col("n"))).alias("mean"))
 
 
