@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from valora.config import CUTOFF
-from valora.operators import evidence as V
+from valora.operators import comparables as C, evidence as V
 from valora.operators.quantiles import exact_quantiles
 from valora.plans.registry import query
 from valora.sources.tables import SALE_SQL, day, sales
@@ -60,6 +60,24 @@ def a1_cases(spark, sf_dir):
     return V.capped(V.pool(s, s, 365), 5, F.desc("sale_date"), F.col("sale_id")).select("target_id", "sale_id")
 
 
+_BY_LEVEL = """SELECT target_id, sale_id FROM (SELECT t.sale_id AS target_id, s.sale_id, row_number() OVER (PARTITION BY t.sale_id ORDER BY s.sale_date DESC, s.sale_id{tie}) AS k
+FROM {targets} t JOIN sale s ON t.{key} = s.{key} AND s.sale_date < t.sale_date AND s.sale_date >= t.sale_date - INTERVAL 365 DAY) WHERE k <= 5"""
+
+
+@query("a1_cases_filled", _WITH + f""", own AS ({_BY_LEVEL.format(tie='', targets='sale', key='community_id')}), bare AS (SELECT * FROM sale WHERE sale_id NOT IN (SELECT target_id FROM own)),
+wide AS ({_BY_LEVEL.format(tie=' DESC', targets='bare', key='block')})
+SELECT target_id, sale_id, 'community' AS level FROM own UNION ALL SELECT target_id, sale_id, 'block' FROM wide UNION ALL SELECT sale_id, NULL, 'uncovered' FROM bare WHERE sale_id NOT IN (SELECT target_id FROM wide)""")
+def a1_cases_filled(spark, sf_dir):
+    """J19: cases of the community, of the block where it has none; a target without any keeps one row without a case."""
+    s = sales(spark, sf_dir)
+    own = V.capped(V.pool(s, s, 365), 5, F.desc("sale_date"), F.col("sale_id")).select("target_id", "sale_id", F.lit("community").alias("level"))
+    bare = s.join(own.select(F.col("target_id").alias("__t")).distinct(), F.col("sale_id") == F.col("__t"), "left_anti")
+    ladder = (C.Rung("block, 365 days", ("block",), 365),)
+    wide = C.cases(C.with_rungs(bare, s, ladder), s, ladder, 5).select("target_id", "sale_id", F.lit("block").alias("level"))
+    none = bare.join(wide.select(F.col("target_id").alias("__t")).distinct(), F.col("sale_id") == F.col("__t"), "left_anti")
+    return own.unionByName(wide).unionByName(none.select(F.col("sale_id").alias("target_id"), F.lit(None).cast("string").alias("sale_id"), F.lit("uncovered").alias("level")))
+
+
 @query("time_index", _WITH + f""", m AS (SELECT district, date_trunc('month', sale_date) AS month, quantile_cont(unit_price, 0.5) AS median, count(*) AS n FROM sale GROUP BY 1, 2),
 b AS (SELECT * FROM m WHERE month = DATE '{CUTOFF}')
 SELECT m.district, strftime(m.month, '%Y-%m') AS month, m.n, round(m.median, 6) AS median, round(b.median, 6) AS base_median, round(CASE WHEN m.n >= 5 AND b.n >= 5 THEN m.median / b.median ELSE 1.0 END, 6) AS index
