@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -271,6 +272,29 @@ class TestDecontaminate:
                 other[[a, b]] = 1
                 assert any((decontaminate.seeds(other, m) == want[m]).any() for m in range(3))
 
+    @pytest.mark.parametrize("n", range(5, 13))
+    def test_allowed_differences_of_short_items_are_hit(self, n):
+        item = np.arange(n, dtype=np.uint64) + np.uint64(100)
+        want = decontaminate.short_seeds(item, n)
+        off = n - math.ceil(n * 8 / 10)
+        for k in range(off + 2):
+            for places in itertools.combinations(range(n), k):
+                other = item.copy()
+                other[list(places)] = 1
+                hit = any((a == b).any() for a, b in zip(decontaminate.short_seeds(other, n), want, strict=True))
+                assert decontaminate.aligned(other, item, 0).any() == (k <= off)
+                assert hit or k > off
+
+    def test_changed_short_items_are_found(self, spark):
+        item = words(10, 5).split()
+        two, three = list(item), list(item)
+        two[0] = two[9] = "zz"
+        three[0] = three[4] = three[9] = "zz"
+        df = texts(spark, "a " + " ".join(two) + " b", " ".join(three), " ".join(item[:9]))
+        bench = self.bench(spark, " ".join(item), "one two three", None)
+        assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()] == [(0, 0)]
+        assert sorted((r["item_id"], r["item_words"]) for r in decontaminate.short_items(bench).collect()) == [(1, 3), (2, 0)]
+
     def test_short_and_equal_items(self, spark):
         df = texts(spark, "x red green blue white black y", "red green blue white", "nothing")
         got = decontaminate.contaminated(df, self.bench(spark, "Red green, blue white black", "red green blue white black", "the")).collect()

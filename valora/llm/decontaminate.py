@@ -11,8 +11,11 @@ at least SAME are equal at the same place.
 A bitmap of fixed size that holds all benchmark hashes goes to every task, so
 that only document hashes that may be among them leave Python; the join decides.
 
-Items with fewer words than a mask must occur word for word; items under
-LEAST_WORDS words are too common to count. Items with equal words are one, named
+Items under WINDOW words have masks of their own length: the item is cut in one
+part more than it may have differences (two more for two of them, so that seeds
+keep half of the words), and every choice of parts that all differences can miss
+is a mask. Items under LEAST_WORDS words are too common to count; short_items()
+lists them. Items with equal words are one, named
 by the smallest id; n_items says how many. Null texts are empty. The result has a
 row for each document and item that overlap; clean documents have none. Null ids
 are kept as null. Documents that are repeated row by row are reported once.
@@ -20,6 +23,8 @@ are kept as null. Documents that are repeated row by row are reported once.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -52,8 +57,27 @@ def seeds(h: np.ndarray, mask: int) -> np.ndarray:
     return K.mix(total)
 
 
-def whole(h: np.ndarray, n: int) -> np.ndarray:
-    return K.mix(K.windows(h, n) ^ np.uint64(0xABCD00 + n))
+def needed(size: int) -> int:
+    """Words of an overlap of ``size`` words that must be equal."""
+    return int(np.ceil(SAME * size - 1e-9))
+
+
+def short_masks(n: int) -> list[list[int]]:
+    """Places that count in seeds of items of n words, under WINDOW: every allowed set of differences misses one mask."""
+    off = n - needed(n)
+    parts = np.array_split(np.arange(n), {0: 1, 1: 3, 2: 4}[off])
+    return [np.concatenate(kept).tolist() for kept in itertools.combinations(parts, len(parts) - off)]
+
+
+def short_seeds(h: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each mask of length n the hashes of the masked words of every h[i:i + n], also across texts."""
+    size, out = len(h) - n + 1, []
+    for mask, places in enumerate(short_masks(n)):
+        total = np.full(max(size, 0), 0xABCD00 + 16 * n + mask, np.uint64)
+        for k, place in enumerate(places if size > 0 else ()):
+            total += h[place : place + size] * np.uint64(K._WORD_MULT ** (k + 1) & K._M64)
+        out.append(K.mix(total))
+    return out
 
 
 def _item_words(batches):
@@ -66,7 +90,7 @@ def _item_seeds(batches):
     for batch in batches:
         for item, raw in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist(), strict=True):
             h = np.frombuffer(raw, np.uint64)
-            parts = [seeds(h, m) for m in range(len(MASKS))] if len(h) >= SPAN else [whole(h, len(h))]
+            parts = [seeds(h, m) for m in range(len(MASKS))] if len(h) >= WINDOW else short_seeds(h, len(h))
             hashes, pos = np.concatenate(parts), np.concatenate([np.arange(len(p)) for p in parts])
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(len(hashes), item)), pa.array(pos, pa.int32())], names=["hash", "item", "at"])
 
@@ -85,7 +109,7 @@ def _hits(bitmap, short: list[int]):
         for rows, data, offs in K.blocks(batches, "__text"):
             w, h = _words(data, offs)
             ids, ths = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-            for size, found in [*[(SPAN, seeds(h, m)) for m in range(len(MASKS))], *[(n, whole(h, n)) for n in short]]:
+            for size, found in [*[(SPAN, seeds(h, m)) for m in range(len(MASKS))], *[(n, found) for n in short for found in short_seeds(h, n)]]:
                 at = found >> np.uint64(64 - BITMAP_BITS)
                 at = np.flatnonzero(bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
                 doc = np.searchsorted(w.at, at, "right") - 1
@@ -100,7 +124,7 @@ def _hits(bitmap, short: list[int]):
 def aligned(doc: np.ndarray, item: np.ndarray, shift: int) -> np.ndarray:
     """Places of the item that belong to an overlap when item[0] stands at doc[shift]."""
     size = min(WINDOW, len(item))
-    need = int(np.ceil(SAME * size)) if len(item) >= SPAN else size
+    need = needed(size)
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
     covered = np.zeros(len(item), bool)
     if hi - lo >= size:
@@ -147,7 +171,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for row in hashes.select("hash").coalesce(2).mapInArrow(_bitmap, "bits binary").toLocalIterator():
         total |= np.frombuffer(row["bits"], np.uint8)
     bitmap = spark.sparkContext.broadcast(total.tobytes())
-    lengths = items.select((F.octet_length("words") / 8).cast("int").alias("n")).where(F.col("n") < SPAN).distinct()
+    lengths = items.select((F.octet_length("words") / 8).cast("int").alias("n")).where(F.col("n") < WINDOW).distinct()
     short = sorted(row["n"] for row in lengths.collect())
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.lit(31), text).alias("th"), text.alias("__text"))
@@ -171,6 +195,17 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return S.attach(keyed, found.withColumnRenamed("doc_id", "__id"), ["__id", "__th"], 32 * n, "left_anti").drop("__id", "__th")
 
 
+def short_items(benchmark: DataFrame) -> DataFrame:
+    """item_id and item_words of the items that are too short to be looked for."""
+    S.small_batches(benchmark.sparkSession)
+    words = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(_item_words, "item_id long, words binary")
+    return words.select("item_id", (F.octet_length("words") / 8).cast("long").alias("item_words")).where(F.col("item_words") < LEAST_WORDS)
+
+
+def op6_short_items(spark, sf_dir: str) -> DataFrame:
+    return short_items(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("__th")

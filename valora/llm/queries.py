@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from valora.llm.decontaminate import op6_decontaminate
+from valora.llm.decontaminate import op6_decontaminate, op6_short_items
 from valora.llm.language_id import op1_language_id
 from valora.llm.license_scan import op3_license_scan
 from valora.llm.lm_score import op5_lm_score
@@ -20,6 +20,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_lm_score": op5_lm_score,
     "op6_decontaminate": op6_decontaminate,
+    "op6_short_items": op6_short_items,
     "op7_ngram_join": op7_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
