@@ -50,6 +50,33 @@ def every(df: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+#: Types of ids that the operators on pairs, passages and payloads take.
+_INTEGERS = {"tinyint", "smallint", "int", "bigint"}
+#: What a null id is called inside; it comes after all others.
+NULL_ID = (1 << 63) - 1
+
+
+def id_of(df: DataFrame, name: str = "doc_id"):
+    """The id as long, null as NULL_ID. Ids are compared as numbers, so a column of another type raises TypeError; the
+    one id that is NULL_ID itself can't be told from null and raises when it is met."""
+    kind = df.schema[name].dataType.simpleString()
+    if kind not in _INTEGERS:
+        raise TypeError(f"{name} must be an integer column, not {kind}")
+    met = F.raise_error(F.lit(f"{name} {NULL_ID} stands for null"))
+    found = F.col(name).cast("long")
+    return F.when(found.isNull(), F.lit(NULL_ID)).when(found == NULL_ID, met.cast("long")).otherwise(found)
+
+
+def packed(docs: DataFrame):
+    """All of docs' columns as one struct with plain names, so that no name of theirs can clash with an operator's."""
+    return F.struct(*[c.alias(f"c{k}") for k, c in enumerate(every(docs))])
+
+
+def unpacked(row, docs: DataFrame) -> list:
+    """The columns of a struct that packed() made, under their own names."""
+    return [row[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)]
+
+
 def crc_mod(column, n: int) -> F.Column:
     """crc32 of the value as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
