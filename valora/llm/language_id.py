@@ -10,14 +10,16 @@ Texts are read as UTF-8 with A-Z lowered and other ASCII but letters as one
 blank; a text's features are the square roots of its shares of 2- and 3-grams in
 2**FEATURE_BITS buckets, over the whole text.
 
-Training takes at most MAX_ROWS labelled rows, equally many for each language,
-those with the smallest hashes of their id; at most MAX_LANGUAGES languages, the
-most frequent ones. The rest of the work covers every row.
+Training takes about MAX_ROWS labelled rows, equally many for each language and
+EACH_LEAST at least, those with the smallest hashes of their id and text. Every
+language that a labelled row has can be predicted; a model holds one codeword for
+each. The rest of the work covers every row.
 
 Null texts and texts without a letter give ``und`` with score 0. With no
 labelled text at all every text gives ``und``; with one language every text with
 a letter gives that one, with score 1. Equal costs go to the first language in
-code point order. Repeated rows give the same result each.
+code point order. Repeated rows give the same result each. Only doc_id, text and
+lang are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from valora.llm import _kernel as K, _spark as S
 
-MAX_ROWS, MAX_LANGUAGES, FEATURE_BITS = 2000, 256, 12
+MAX_ROWS, EACH_LEAST, FEATURE_BITS = 2000, 4, 12
 #: Training steps, their size, and the cost below which two languages are too close.
 STEPS, RATE, DECAY, MARGIN = 150, 0.001, 1e-3, 0.7
 _DOCS = 128
@@ -101,7 +103,7 @@ class Model:
         if len(languages) < 2:
             return
         want = self.code[y].astype(np.float32)
-        share = 1.0 / np.bincount(y, minlength=len(languages))[y].astype(np.float32)[:, None]
+        share = 1.0 / np.bincount(y, minlength=len(languages))[y].astype(np.float32)[:, None]  # languages weigh alike
         share /= share.sum()
         scale = np.float32(1 / np.sqrt((x * x).mean()))
         speed_w, speed_b = np.zeros_like(self.w), np.zeros_like(self.b)
@@ -129,19 +131,21 @@ class Model:
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """labelled: doc_id, text, lang; lang is not null."""
-    by = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    """labelled: doc_id, text, lang; lang is not null. max_rows: rows to learn from, over all languages."""
+    by = labelled.groupBy("lang").count().collect()  # a row for each language
     languages = sorted(r["lang"] for r in by)
     if not languages:
         return Model([], np.zeros((0, 1), np.float32), np.zeros(0, int))
-    each = max(2, max_rows // len(languages))
-    share = F.create_map(*[F.lit(v) for r in by for v in (r["lang"], int(min(1.0, 1.5 * each / r["count"]) * (1 << 30)))])
-    picked = labelled.withColumn("__h", F.xxhash64(F.lit(3), "doc_id", "text")).where(F.pmod(F.col("__h"), F.lit(1 << 30)) <= share[F.col("lang")])
-    found = picked.select("lang", "__h", F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(_sampled, "lang string, __h long, x binary")
-    rows = found.orderBy(F.pmod("__h", F.lit(1 << 30)), "__h").limit(2 * max_rows).collect()
+    each = max(EACH_LEAST, max_rows // len(languages))
+    # hashes up to a share that leaves a language short once in e ** 20 times, then the smallest ones of each
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], int(min(1.0, (2 * each + 40) / r["count"]) * (1 << 30))) for r in by], "__l string, __share long")
+    hashed = labelled.select("lang", F.xxhash64(F.lit(3), "doc_id", "text").alias("__h"), F.coalesce("text", F.lit("")).alias("__text"))
+    picked = hashed.join(F.broadcast(shares), (F.col("lang") == F.col("__l")) & (F.pmod("__h", F.lit(1 << 30)) <= F.col("__share"))).select("lang", "__h", "__text")
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("__h", F.lit(1 << 30)), "__h"))
+    rows = picked.mapInArrow(_sampled, "lang string, __h long, x binary").withColumn("nth", nth).where(F.col("nth") <= each).orderBy("lang", "nth").collect()
     index = {name: k for k, name in enumerate(languages)}
     x = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(len(rows), -1)
-    return Model(languages, x, np.array([index[r["lang"]] for r in rows], int)) if len({r["lang"] for r in rows}) == len(languages) else train(labelled.where(F.col("lang").isin([*{r["lang"] for r in rows}])), max_rows)
+    return Model(languages, x, np.array([index[r["lang"]] for r in rows], int))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
