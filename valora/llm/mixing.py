@@ -17,12 +17,15 @@ Copies. Rates add up along the sizes of a source from large to small, and a
 document gets as many copies as whole numbers lie between its neighbours' sums.
 So the words taken miss the target by half of the largest document at most.
 Equal sizes are dealt by salted cells whose number follows the row count, so no
-task holds a whole source or all documents of one size.
+task holds a whole source or all documents of one size; only rows that repeat
+each other in id and text share a cell, in which they are sorted on disk.
 
 Null texts have size 0, are given one copy's rate and take no words. A source
 without words has target 0. Repeated rows are documents of their own; equal rows
 may get different copies, which ones makes no difference to the result's rows.
-Reruns agree: the order is that of doc_id. Empty tables give empty results.
+Reruns agree: the order is that of doc_id. Empty tables give empty results. A
+source whose multiplier isn't found in ROUNDS rounds raises ArithmeticError.
+Other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,20 +43,36 @@ ROUNDS, CLOSE, CELL_ROWS = 40, 1e-6, 50_000
 LOW, HIGH, FULL = -200.0, 200.0, 1e12
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources with nth, their number from 0 by code point, null last. Dealt by ranges, so no task has all sources:
+    a source's number is that within its range and the count of the ranges before."""
+    order = [F.col("__source").isNull(), F.col("__source")]
+    dealt = sources.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = S.cut(dealt.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))  # a row for each range
+    counts = counts.withColumn("__earlier", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    counts = counts.select(F.col("__part").alias("__p"), "__first", "__earlier")
+    return dealt.join(counts, F.col("__part") == F.col("__p")).withColumn("nth", F.col("__earlier") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__p", "__first", "__earlier")
+
+
 def targets(sources: DataFrame) -> DataFrame:
-    """sources: __source, size. Adds weight and target."""
-    nth = F.row_number().over(W.orderBy(F.col("__source").isNull(), F.col("__source"))) - 1
-    weighed = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (nth % len(WEIGHTS) + 1).cast("int")))
-    weighed = weighed.withColumn("most", F.col("size") * CAP)
-    whole = W.partitionBy()
-    by_level = W.orderBy(F.col("most") / F.col("weight"), F.col("__source").isNull(), F.col("__source")).rowsBetween(W.unboundedPreceding, -1)
-    # the level if this source and those after it are below their caps; the right one is the largest
-    # that doesn't pass this source's own cap, else every source is at its cap
-    want = F.sum("size").over(whole) * SHARE
-    level = (want - F.coalesce(F.sum("most").over(by_level), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(by_level), F.lit(0.0)))
-    levels = weighed.withColumn("level", level).withColumn("fits", F.col("level") <= F.col("most") / F.col("weight"))
-    found = levels.withColumn("found", F.max(F.when(F.col("fits"), F.col("level"))).over(whole))
-    return found.select("__source", "size", "weight", F.least("most", F.coalesce(F.col("found") * F.col("weight"), F.col("most"))).alias("target"))
+    """sources: __source, size. Adds weight and target.
+
+    The level is found from below: if all sources stay below their caps it is what is wanted by weight; sources above
+    their caps at that level give up the excess, which raises it for the others, until none is above. Each round is two
+    sums over all sources."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("nth") % len(WEIGHTS) + 1).cast("int"))
+    weighed = S.cut(ranked(sources).select("__source", "size", weight.alias("weight"), (F.col("size") * CAP).alias("most")))
+    want = (weighed.agg(F.sum("size")).first()[0] or 0) * SHARE
+    level, n_capped = 0.0, -1
+    while True:
+        capped = F.col("most") < F.lit(level) * F.col("weight")
+        full, weights, n = weighed.agg(F.sum(F.when(capped, F.col("most"))), F.sum(F.when(~capped, F.col("weight"))), F.count_if(capped)).first()
+        if n == n_capped or not weights:
+            break
+        level, n_capped = max(level, (want - (full or 0.0)) / weights), n
+    reached = F.col("most") if not weights else F.least("most", F.lit(level) * F.col("weight"))
+    return weighed.select("__source", "size", "weight", reached.alias("target"))
 
 
 def _rate(a, x):
@@ -87,9 +106,10 @@ def balanced(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
                 F.when(stay, F.col("lo")).otherwise(lo).alias("lo"), F.when(stay, F.col("hi")).otherwise(hi).alias("hi"), (F.col("done") | stay).alias("done"),
             )
         )
-        if not state.where("not done").limit(1).count():
-            break
-    return state.select("__source", "size", "target", "mean", "a")
+        left = state.where("not done").limit(1).collect()
+        if not left:
+            return state.select("__source", "size", "target", "mean", "a")
+    raise ArithmeticError(f"no multiplier found for source {left[0]['__source']!r} in {ROUNDS} rounds")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -99,7 +119,7 @@ def mix(docs: DataFrame) -> DataFrame:
     slim = S.cut(docs.select("doc_id", F.col("source").alias("__source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("__tie")))
     n_rows, _ = S.measured(slim, F.lit(0))
     n_salts = max(1, -(-n_rows // CELL_ROWS))
-    salted = slim.withColumn("__salt", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(n_salts)))
+    salted = slim.withColumn("__salt", F.pmod(F.xxhash64(F.lit(7), "doc_id", "__tie"), F.lit(n_salts)))
     cells = S.cut(salted.groupBy("__source", "size", "__salt").agg(F.count(F.lit(1)).alias("n")))
     sizes = cells.groupBy("__source", "size").agg(F.sum("n").alias("n"))
     wanted = targets(sizes.groupBy("__source").agg(F.sum(F.col("size") * F.col("n")).alias("size")))
