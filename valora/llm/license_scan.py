@@ -6,9 +6,12 @@ texts are joined by hash with the pairs of the templates. A hit votes for the
 diagonal (word in the text minus word in the template) on which a whole copy of
 the template would lie. Votes are sets of template positions, kept as bits, so
 copies of a text vote once and repeated rows change nothing. Diagonals of one
-template that lie within GAP words of each other are merged: words left out or
-put in move a copy to a neighbouring diagonal. A merged span is verified by the
-share of the template's words that lie in pairs found, and by its length.
+template that lie within GAP words of each other are merged into a span: words
+left out or put in move a copy to a neighbouring diagonal. A span may be long, as
+a text may repeat some of the template's words for pages; so within it every
+stretch of diagonals is verified that a copy of STRETCH times the template's
+length, and GAP words more, can lie on, and the best one counts: by the share of
+the template's words that lie in pairs found there.
 
 PHRASES must occur whole, on one diagonal; their places are counted. NOTICES give
 labels of their own where the share is at least COVERED. score is the largest
@@ -40,6 +43,7 @@ NOTICES = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
 }
 GAP, COVERED, NOISE, STRETCH = 3, 0.8, 0.5, 1.5
+_SCALE = 1 << 24
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -62,8 +66,8 @@ def _pairs(spark, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame
 
 
 def found_spans(texts: DataFrame, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
-    """texts: __f1, __f2 (hashes), __text. Verified and other spans: template, label, phrase, place
-    (word at which the template would begin), share."""
+    """texts: __f1, __f2 (hashes), __text. Each span's best stretch: template, label, phrase, place (word at which
+    the template would begin on the stretch's first diagonal), share, and whether all of its pairs are there."""
     pairs = _pairs(texts.sparkSession, phrases, notices).withColumn("hash", F.xxhash64("t1", "t2"))
     words = texts.select("__f1", "__f2", F.split("__text", _SEPARATORS, -1).alias("w"))
     zipped = words.select("__f1", "__f2", (F.element_at("w", 1) == "").cast("int").alias("skip"), F.posexplode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("pos", "pair"))
@@ -71,17 +75,21 @@ def found_spans(texts: DataFrame, phrases: dict[str, str], notices: dict[str, st
     hits = rolling.join(F.broadcast(pairs), F.xxhash64(F.lower("a"), F.lower("b")) == F.col("hash"))
     hits = hits.where((_lowered(F.col("a")) == F.col("t1")) & (_lowered(F.col("b")) == F.col("t2")))
     votes = hits.groupBy("__f1", "__f2", "template", "label", "phrase", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))).alias("bits"), F.min("pos").alias("first"), (F.max("pos") + 1).alias("last")
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))).alias("bits")
     )
     along = W.partitionBy("__f1", "__f2", "template").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > GAP) | F.col("phrase"), F.lit(True))
     merged = votes.withColumn("new", new.cast("int")).withColumn("span", F.sum("new").over(along.rowsBetween(W.unboundedPreceding, 0)))
-    spans = merged.groupBy("__f1", "__f2", "template", "label", "phrase", "size", "span").agg(
-        F.min("diagonal").alias("place"), F.bit_or("bits").alias("bits"), (F.max("last") - F.min("first") + 1).alias("length")
-    )
+    # a stretch holds the diagonals up to drift after its first one; frames have a fixed length, so diagonals are
+    # scaled: those of a template lie _SCALE / drift apart
+    drift = F.floor(F.col("size") * (STRETCH - 1)) + GAP
+    scaled = F.col("diagonal") * F.floor(F.lit(_SCALE) / drift)
+    stretch = W.partitionBy("__f1", "__f2", "template", "span").orderBy("scaled").rangeBetween(0, _SCALE)
+    spans = merged.withColumn("scaled", scaled).withColumn("bits", F.when(F.col("phrase"), F.col("bits")).otherwise(F.bit_or("bits").over(stretch)))
     covered = F.bit_count(F.col("bits").bitwiseOR(F.call_function("shiftleft", F.col("bits"), F.lit(1)))) / F.col("size")
-    share = F.when(F.col("length") <= F.col("size") * STRETCH + GAP, F.least(covered, F.lit(1.0))).otherwise(0.0)
-    return spans.withColumn("share", share).withColumn("whole", F.bit_count("bits") == F.col("size") - 1)
+    spans = spans.withColumns({"share": F.least(covered, F.lit(1.0)), "whole": F.bit_count("bits") == F.col("size") - 1})
+    best = spans.groupBy("__f1", "__f2", "template", "label", "phrase", "size", "span").agg(F.max(F.struct(F.col("share"), (-F.col("diagonal")).alias("before"), F.col("whole"))).alias("best"))
+    return best.select("__f1", "__f2", "template", "label", "phrase", (-F.col("best.before")).alias("place"), F.col("best.share").alias("share"), F.col("best.whole").alias("whole"))
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
