@@ -7,10 +7,14 @@ as flat arrays (feature, threshold, leaf), through which all rows of a block and
 all trees are walked at once.
 
 Training takes at most MAX_ROWS labelled documents, those with the smallest
-hashes. A document with several labels weighs with their mean. If the labels
+hashes of their id; of equal hashes those with the smaller label and statistics.
+Of splits that gain alike the first statistic in the order of NAMES, and of its
+thresholds the smallest, is taken, so reruns grow the same trees. A document with
+several labels weighs with their mean. If the labels
 have one kind only, every score is their mean; with no labels it is 1, as nothing
 speaks against a text. Null texts are empty; empty texts have a score like all
 others. Repeated rows get the same score. Labels without quality are left out.
+Columns of the input may have any names, those of the operators included.
 """
 
 from __future__ import annotations
@@ -168,27 +172,34 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees
     most = int(min(1.0, 1.3 * max_rows / max(n, 1)) * (1 << 30))
     kept = kept.select(F.col("doc_id").alias("__id"), "y", F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 30)).alias("__h")).where(F.col("__h") <= most)
     kept = F.broadcast(kept) if min(n, 1.4 * max_rows) * 32 <= S.BROADCAST_BYTES else kept
-    rows = docs.join(kept, F.col("doc_id") == F.col("__id")).select("y", "__h", F.coalesce("text", F.lit("")).alias("__text"))
+    rows = docs.select("doc_id", "text").join(kept, F.col("doc_id") == F.col("__id")).select("y", "__h", F.coalesce("text", F.lit("")).alias("__text"))
     found = rows.mapInArrow(_measured, "y double, __h long, x array<double>").orderBy("__h", "y", "x").limit(max_rows).collect()
     x = np.array([r["x"] for r in found], float).reshape(len(found), len(NAMES))
     y = np.array([r["y"] for r in found], float)
     return grow(x, np.clip(y, 0, 1), np.ones(len(y)))
 
 
-def score(docs: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
-    """The kept columns of docs with __score; text is read."""
+def _scored(docs: DataFrame, trees: Trees) -> DataFrame:
+    """docs' rows as a struct, row, with their score; text is read."""
     sent = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):
-        for rows, data, offs in K.blocks(batches, "__text"):
-            p = sent.value.predict(statistics(data, offs))
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(p)], names=[*rows.schema.names[:-1], "__score"])
+        for rows, data, offs in K.blocks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sent.value.predict(statistics(data, offs)))], names=["row", "score"])
 
     S.small_batches(docs.sparkSession)
-    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias("__text"))
-    plain = [f"__c{k}" for k in range(len(keep))]  # Arrow functions don't take names with dots
-    out = T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(plain, slim.schema.fields, strict=False)], T.StructField("__score", T.DoubleType())])
-    return slim.toDF(*plain, "__text").mapInArrow(run, out).toDF(*keep, "__score")
+    slim = docs.select(S.packed(docs).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    return slim.mapInArrow(run, T.StructType([slim.schema["row"], T.StructField("score", T.DoubleType())]))
+
+
+def score(docs: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
+    """The kept columns of docs with __score; one of that name can't be kept and raises ValueError. text is read."""
+    if "__score" in keep:
+        raise ValueError("the result has a column __score of its own")
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    slim = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
+    place = {c: f"c{k}" for k, c in enumerate(slim.columns)}
+    return _scored(slim, trees).select(*[F.col("row")[place[c]].alias(c) for c in kept.columns], F.col("score").alias("__score"))
 
 
 def held_out(column="doc_id"):
@@ -199,7 +210,7 @@ def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs with a score of ACCEPT or more, by trees that learn from the labelled rows
     that are not held out."""
     trees = train(docs.select("doc_id", "text").where(~held_out()), labels.where(~held_out()))
-    return score(docs, trees, docs.columns).where(F.col("__score") >= ACCEPT).select(*S.every(docs))
+    return _scored(docs, trees).where(F.col("score") >= ACCEPT).select(*S.unpacked(F.col("row"), docs))
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
