@@ -15,10 +15,19 @@ Items under WINDOW words have masks of their own length: the item is cut in one
 part more than it may have differences (two more for two of them, so that seeds
 keep half of the words), and every choice of parts that all differences can miss
 is a mask. Items under LEAST_WORDS words are too common to count; short_items()
-lists them. Items with equal words are one, named
-by the smallest id; n_items says how many. Null texts are empty. The result has a
-row for each document and item that overlap; clean documents have none. Null ids
-are kept as null. Documents that are repeated row by row are reported once.
+lists them. Items with equal words are one, named by the smallest id.
+
+The result has a row for each contaminated document: the item of which it holds
+the largest share (of equal shares the longer item, then the smaller id), and
+n_items, the number of benchmark rows that overlap with it. So a passage that
+many items and many documents share gives as many rows as documents. A seed that
+they share is joined by a broadcast of the benchmark's seeds where these are
+measured to be small, and the items of one document are compared ITEMS_AT_ONCE
+at a time.
+
+Null texts are empty; clean documents have no row. Ids are integers (see id_of);
+null ids are kept as null. Documents that are repeated row by row are reported
+once. Other columns of the input may have any names; clean() keeps them.
 """
 
 from __future__ import annotations
@@ -27,7 +36,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from valora.llm import _kernel as K, _spark as S
 
@@ -36,6 +45,8 @@ MASKS = ((0, 1, 2, 4, 7, 10), (0, 3, 7, 8, 9, 10), (0, 4, 5, 6, 8, 10))
 SPAN, WINDOW, SAME, LEAST_WORDS = 11, 13, 0.8, 5
 #: Bits of the bitmap of benchmark hashes, as a power of two.
 BITMAP_BITS = 24
+#: Items that one row carries to a document's text.
+ITEMS_AT_ONCE = 32
 
 OTHER = np.ones(256, bool)
 OTHER[0x30:0x3A] = OTHER[0x41:0x5B] = OTHER[0x61:0x7B] = OTHER[0x80:] = False
@@ -139,10 +150,10 @@ def _overlaps(batches):
     for rows, data, offs in K.blocks(batches, "__text"):
         w, h = _words(data, offs)
         out: list[list] = [[], [], [], [], [], [], []]
-        ids, ths = rows.column("id").to_pylist(), rows.column("th").to_pylist()
-        for k, near in enumerate(rows.column("near").to_pylist()):
+        ids, ths, near = (rows.column(c) for c in ("id", "th", "near"))
+        for k in range(rows.num_rows):
             text = h[w.at[k] : w.at[k + 1]]
-            for item in near:
+            for item in near[k].as_py():
                 words = np.frombuffer(item["words"], np.uint64)
                 covered, first = np.zeros(len(words), bool), None
                 for shift in sorted({*item["shifts"]}):
@@ -152,54 +163,75 @@ def _overlaps(batches):
                         first = place if first is None else min(first, place)
                         covered |= got
                 if first is not None:
-                    for col, x in zip(out, (ids[k], ths[k], item["item"], len(words), int(covered.sum()), first, float(covered.mean())), strict=True):
+                    for col, x in zip(out, (ids[k].as_py(), ths[k].as_py(), item["item"], len(words), int(covered.sum()), first, float(covered.mean())), strict=True):
                         col.append(x)
         kinds = [pa.int64()] * 6 + [pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["id", "th", "item", "item_words", "same_words", "first_word", "overlap"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document of docs (doc_id, text) and text of benchmark (item_id, text) that overlap:
-    doc_id, item_id, n_items, item_words, same_words, first_word, overlap; __th is a hash of the document's text."""
+def _marked(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(S.id_of(docs).alias("id"), F.xxhash64(F.lit(31), text).alias("th"), text.alias("__text"), S.packed(docs).alias("row"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A row for each document of docs (doc_id, text) and different text of benchmark (item_id, text) that overlap: id,
+    th (a hash of the document's text), item, item_words, same_words, first_word, overlap; and the items' names."""
     spark = docs.sparkSession
     S.small_batches(spark)
-    words = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(_item_words, "item_id long, words binary")
+    words = benchmark.select(S.id_of(benchmark, "item_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(_item_words, "item_id long, words binary")
     items = words.where(F.octet_length("words") >= 8 * LEAST_WORDS).groupBy("words").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"))
     items = S.cut(items.withColumn("item", F.monotonically_increasing_id()))
     hashes = S.cut(items.mapInArrow(_item_seeds, "hash long, item long, at int"))
+    n_hashes, _ = S.measured(hashes, F.lit(0))
     total = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     for row in hashes.select("hash").coalesce(2).mapInArrow(_bitmap, "bits binary").toLocalIterator():
         total |= np.frombuffer(row["bits"], np.uint8)
     bitmap = spark.sparkContext.broadcast(total.tobytes())
     lengths = items.select((F.octet_length("words") / 8).cast("int").alias("n")).where(F.col("n") < WINDOW).distinct()
     short = sorted(row["n"] for row in lengths.collect())
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.lit(31), text).alias("th"), text.alias("__text"))
-    marked = keyed.select(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "th", "__text")
+    marked = _marked(docs.select("doc_id", "text")).drop("row")
     hits = marked.mapInArrow(_hits(bitmap, short), "hash long, id long, th long, pos int")
-    near = hits.join(hashes.withColumnRenamed("hash", "h"), F.col("hash") == F.col("h")).select("id", "th", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
-    near = near.groupBy("id", "th", "item").agg(F.collect_list("shift").alias("shifts")).join(items.select(F.col("item").alias("i"), "words"), F.col("item") == F.col("i"))
-    near = S.cut(near.groupBy("id", "th").agg(F.collect_list(F.struct("item", "shifts", "words")).alias("near")))
+    near = S.attach(hits, hashes, ["hash"], 40 * n_hashes, "inner").select("id", "th", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    near = near.groupBy("id", "th", "item").agg(F.collect_list("shift").alias("shifts"))  # as many as the text has words
+    near = near.join(items.select(F.col("item").alias("i"), "words"), F.col("item") == F.col("i"))
+    nth = F.row_number().over(W.partitionBy("id", "th").orderBy("item")) - 1
+    near = near.withColumn("part", F.floor(nth / ITEMS_AT_ONCE)).groupBy("id", "th", "part").agg(F.collect_list(F.struct("item", "shifts", "words")).alias("near"))
+    near = S.cut(near.drop("part"))
     _, nbytes = S.measured(near, F.lit(32) + F.aggregate("near", F.lit(0), lambda a, x: a + F.octet_length(x["words"]) + 4 * F.size(x["shifts"]) + 32))
     found = S.attach(marked, near, ["id", "th"], nbytes, "inner").select("id", "th", "near", "__text")
     found = found.mapInArrow(_overlaps, "id long, th long, item long, item_words long, same_words long, first_word long, overlap double").distinct()
-    named = found.join(items.select(F.col("item").alias("i"), "item_id", "n_items"), F.col("item") == F.col("i"))
-    return named.select(F.when(F.col("id") != (1 << 63) - 1, F.col("id")).alias("doc_id"), "item_id", "n_items", "item_words", "same_words", "first_word", "overlap", F.col("th").alias("__th"))
+    return found, items.select("item", "item_id", "n_items")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """A row for each document of docs (doc_id, text) that overlaps with a text of benchmark (item_id, text): doc_id,
+    item_id, n_items, item_words, same_words, first_word, overlap."""
+    return _summed(*overlaps(docs, benchmark)).drop("th")
+
+
+def _summed(found: DataFrame, items: DataFrame) -> DataFrame:
+    named = found.join(items.withColumnRenamed("item", "i"), F.col("item") == F.col("i"))
+    best = F.max_by(F.struct("item_id", "item_words", "same_words", "first_word", "overlap"), F.struct("overlap", "item_words", -F.col("item_id")))
+    by = named.groupBy("id", "th").agg(best.alias("best"), F.sum("n_items").alias("n_items"))
+    item = F.col("best.item_id")
+    return by.select(
+        F.when(F.col("id") != S.NULL_ID, F.col("id")).alias("doc_id"), F.when(item != S.NULL_ID, item).alias("item_id"), "n_items", "best.item_words", "best.same_words", "best.first_word", "best.overlap", "th",
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that overlap with no item of benchmark."""
-    found = S.cut(contaminated(docs, benchmark).select("doc_id", "__th").distinct())
+    """The rows of docs that overlap with no item of benchmark, with all their columns."""
+    found = S.cut(overlaps(docs, benchmark)[0].select("id", "th").distinct())
     n, _ = S.measured(found, F.lit(0))
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.lit(31), F.coalesce("text", F.lit("")))})
-    return S.attach(keyed, found.withColumnRenamed("doc_id", "__id"), ["__id", "__th"], 32 * n, "left_anti").drop("__id", "__th")
+    return S.attach(_marked(docs), found, ["id", "th"], 32 * n, "left_anti").select(*S.unpacked(F.col("row"), docs))
 
 
 def short_items(benchmark: DataFrame) -> DataFrame:
     """item_id and item_words of the items that are too short to be looked for."""
     S.small_batches(benchmark.sparkSession)
-    words = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(_item_words, "item_id long, words binary")
-    return words.select("item_id", (F.octet_length("words") / 8).cast("long").alias("item_words")).where(F.col("item_words") < LEAST_WORDS)
+    words = benchmark.select(S.id_of(benchmark, "item_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(_item_words, "item_id long, words binary")
+    return words.select(F.when(F.col("item_id") != S.NULL_ID, F.col("item_id")).alias("item_id"), (F.octet_length("words") / 8).cast("long").alias("item_words")).where(F.col("item_words") < LEAST_WORDS)
 
 
 def op6_short_items(spark, sf_dir: str) -> DataFrame:
@@ -208,4 +240,4 @@ def op6_short_items(spark, sf_dir: str) -> DataFrame:
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("__th")
+    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
