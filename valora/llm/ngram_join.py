@@ -4,19 +4,26 @@ MinHash banding. Texts are lower-cased (A-Z) and split at blanks; the set of a
 text has the hashes of its N consecutive words, or of all its words if it has
 fewer. Rows and bands of the signature are chosen for the target recall at the
 threshold. Documents with equal sets count as copies of one node. Nodes shuffle
-on their band hashes; the nodes of a bucket are tied to its smallest node, and
-the components of these ties are the groups within which every pair of nodes is
-verified on the full sets, in blocks. A group is dealt out as pairs of blocks of
-bounded size, so a group that holds a third of the rows is no single task. A
-block pair returns only a node's number of links and its class so far, so rows
-grow with the nodes, not with their pairs.
+on their band hashes, and pairs of nodes that share a band are verified on their
+full sets; pairs that share none are not candidates, however they are dealt.
+
+Where the buckets of a node's component (the nodes that shared bands lead to)
+hold few nodes, which is the rule, the component is verified in one piece and
+each set is sent once. A larger component, such as templated texts grow to, is
+verified bucket by bucket: a set is sent once for each band in which it has
+company, so what is sent grows with the nodes and not with the square of the
+component, and a pair counts in the first band it shares only. A bucket of more
+nodes than a block holds is dealt out as pairs of blocks, so a group that holds a
+third of the rows is no single task. Both ways find the same links. A unit returns
+only a node's number of links and its class so far, so rows grow with the nodes.
 
 The result has one row per document: its class (the smallest doc_id that links
 lead to) and how many other documents are linked to it directly, copies counted.
 
 Null or empty texts have no n-gram: they form a class of their own, with no
-links. Null ids come after all others; a class of null ids only has a null id.
-Repeated rows are copies. Sets are compared by 64-bit hashes.
+links. Ids are integers (see id_of); null ids come after all others; a class of
+null ids only has a null id. Repeated rows are copies. Sets are compared by 64-bit
+hashes. Other columns of the input may have any names; first_of_each keeps them.
 """
 
 from __future__ import annotations
@@ -116,6 +123,14 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(raw, pa.binary())], names=[*block.schema.names[:-1], "grams"])
 
 
+def candidates(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """Which rows of a and b (nodes by bands) share a band; with ``band`` >= 0, which share it and none before it."""
+    shared = np.zeros((len(a), len(b)), bool)
+    for k in range(a.shape[1] if band < 0 else band):
+        shared |= a[:, k][:, None] == b[:, k][None, :]
+    return shared if band < 0 else ~shared & (a[:, band][:, None] == b[:, band][None, :])
+
+
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of sorted arrays, len(a) by len(b)."""
     out = np.zeros((len(a), len(b)), np.float32)
@@ -154,17 +169,21 @@ def _verify(threshold: float):
         union = sizes_a[:, None] + sizes_b[None, :] - inter
         return inter >= threshold * union - 1e-6
 
-    def unit(nodes, copies, sets, left, out):
+    def unit(nodes, copies, sets, bands, left, band, out):
         """left: which of the nodes are on the left side; all where the unit is a block with itself."""
         if left.all():
             a = b = np.arange(len(nodes))
-            linked = links(sets, sets)
-            np.fill_diagonal(linked, False)
         else:
             a, b = np.flatnonzero(left), np.flatnonzero(~left)
-            if not len(a) or not len(b):
-                return
-            linked = links([sets[i] for i in a], [sets[i] for i in b])
+        if not len(a) or not len(b):
+            return
+        linked = candidates(bands[a], bands[b], band)
+        if a is b:
+            np.fill_diagonal(linked, False)
+        if not linked.any():
+            return
+        rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))  # sets that are in a candidate pair
+        linked[np.ix_(rows, cols)] &= links([sets[i] for i in a[rows]], [sets[i] for i in b[cols]])
         count = np.zeros(len(nodes), np.int64)
         count[a] += linked @ copies[b]
         if a is not b:
@@ -183,17 +202,18 @@ def _verify(threshold: float):
 
     def run(key, table):
         first, out = key[1].as_py(), []
-        comp, node, copies, block = (table.column(c).to_numpy() for c in ("comp", "node", "copies", "block"))
-        raw = table.column("grams")
-        order = np.lexsort((node, comp))
+        group, node, copies, block, band = (table.column(c).to_numpy() for c in ("group", "node", "copies", "block", "band"))
+        raw, shared = table.column("grams"), table.column("bands").combine_chunks()
+        bands = shared.flatten().to_numpy().reshape(len(node), -1)
+        order = np.lexsort((node, group, band))
         one = np.ones(len(order), bool)
-        one[1:] = (np.diff(comp[order]) != 0) | (np.diff(node[order]) != 0)
+        one[1:] = (np.diff(group[order]) != 0) | (np.diff(node[order]) != 0) | (np.diff(band[order]) != 0)
         order = order[one]  # repeated rows of one document
-        at = np.flatnonzero(np.concatenate([[True], np.diff(comp[order]) != 0]))
+        at = np.flatnonzero(np.concatenate([[True], (np.diff(group[order]) != 0) | (np.diff(band[order]) != 0)]))
         for lo, hi in zip(at, np.append(at[1:], len(order)), strict=True):
             part = order[lo:hi]
             if len(part) > 1:
-                unit(node[part], copies[part], [np.frombuffer(raw[int(i)].as_py(), np.uint64) for i in part], block[part] == first, out)
+                unit(node[part], copies[part], [np.frombuffer(raw[int(i)].as_py(), np.uint64) for i in part], bands[part], block[part] == first, int(band[part[0]]), out)
         cols = [np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3)]
         return pa.table(cols, names=["node", "label", "links"])
 
@@ -206,7 +226,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     for the first (__id, __th) of each class."""
     S.small_batches(docs.sparkSession)
     bands, rows = banding(threshold, recall)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("__text"))
+    keyed = docs.select(S.id_of(docs).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("__text"))
     sig = S.cut(keyed.mapInArrow(_signatures(bands, rows), "id long, th long, fp long, n_grams long, bands array<long>"))
     nodes = S.cut(
         sig.where("n_grams > 0").groupBy(F.col("fp").alias("node"))
@@ -216,22 +236,35 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     hubs = member.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select(F.col("bucket").alias("at"), "hub")
     ties = member.join(hubs, F.col("bucket") == F.col("at")).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(ties).withColumnRenamed("label", "comp")
-    groups = nodes.join(groups, "node").select("node", "rep", "copies", "n_grams", "comp")
-    sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("g"), F.sum("n_grams").alias("grams"))
-    sizes = sizes.select("comp", F.greatest(F.ceil(F.col("g") / BLOCK_NODES), F.ceil(F.col("grams") / BLOCK_GRAMS)).alias("n_blocks"))
-    dealt = S.cut(groups.join(sizes, "comp").select("comp", "node", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), "copies", "n_grams", "n_blocks", F.pmod(F.xxhash64("node"), "n_blocks").alias("block")))
-    n_dealt, n_grams = S.measured(dealt, "n_grams")
-    # the documents that stand for the nodes, with their sets
-    full = S.attach(keyed, dealt, ["id", "th"], 72 * n_dealt, "inner").select("comp", "node", "copies", "n_blocks", "block", "__text")
-    sets = full.mapInArrow(_sets, "comp long, node long, copies long, n_blocks long, block long, grams binary")
+    groups = S.cut(nodes.join(groups, "node").select("node", "rep", "copies", "n_grams", "bands", "comp"))
+    # where a component fits into one block it is one group; elsewhere each bucket of two nodes or more is one
+    blocks = lambda g, n: F.greatest(F.ceil(g / BLOCK_NODES), F.ceil(n / BLOCK_GRAMS))
+    size = [F.count(F.lit(1)).alias("g"), F.sum("n_grams").alias("grams")]
+    comps = groups.groupBy("comp").agg(*size).select("comp", blocks(F.col("g"), F.col("grams")).alias("n_blocks"))
+    placed = S.cut(groups.join(comps, "comp"))
+    whole = placed.where("n_blocks = 1").select("node", "copies", "rep", "n_grams", "bands", F.col("comp").alias("group"), F.lit(-1).alias("band"), "n_blocks")
+    split = placed.where("n_blocks > 1").select("node", "copies", "rep", "n_grams", "bands", F.posexplode("bands").alias("band", "group"))
+    buckets = split.groupBy("band", "group").agg(*size).where("g > 1").select(F.col("band").alias("b"), F.col("group").alias("k"), blocks(F.col("g"), F.col("grams")).alias("n_blocks"))
+    split = split.join(buckets, (F.col("band") == F.col("b")) & (F.col("group") == F.col("k"))).select("node", "copies", "rep", "n_grams", "bands", "group", "band", "n_blocks")
+    dealt = whole.unionByName(split).select("node", "copies", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), "n_grams", "bands", F.struct("group", "band", "n_blocks", F.pmod(F.xxhash64("node"), "n_blocks").alias("block")).alias("unit"))
+    # the documents that stand for the nodes, each once, with their units and sets
+    dealt = S.cut(dealt.groupBy("node", "copies", "id", "th", "n_grams", "bands").agg(F.collect_list("unit").alias("units")))  # as many as bands
+    _, n_grams = S.measured(dealt, F.col("n_grams") * F.size("units"))
+    _, nbytes = S.measured(dealt, F.lit(72 + 8 * bands) + 40 * F.size("units"))
+    full = S.attach(keyed, dealt, ["id", "th"], nbytes, "inner").select("node", "copies", "bands", "units", "__text")
+    sets = full.mapInArrow(_sets, "node long, copies long, bands array<long>, units array<struct<group: long, band: int, n_blocks: long, block: long>>, grams binary")
     bundles = max(12, -(-n_grams // BLOCK_GRAMS))
+    sets = sets.withColumn("unit", F.explode("units")).select("node", "copies", "bands", "grams", "unit.group", "unit.band", "unit.n_blocks", "unit.block")
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    sets = sets.withColumns({
-        "first": F.when(F.col("n_blocks") > 1, F.least("block", "other")).otherwise(F.lit(0).cast("long")),
-        "second": F.when(F.col("n_blocks") > 1, F.greatest("block", "other")).otherwise(F.lit(0).cast("long")),
-        "place": F.when(F.col("n_blocks") > 1, F.col("comp")).otherwise(F.pmod("comp", F.lit(bundles))),
-    })
-    found = S.cut(sets.groupBy("place", "first", "second").applyInArrow(_verify(threshold), "node long, label long, links long"))
+    single = F.lit(0).cast("long")
+    sets = sets.select(
+        "node", "copies", "bands", "grams", "group", "band", "block",
+        F.when(F.col("n_blocks") > 1, F.xxhash64("group", "band")).otherwise(F.pmod(F.xxhash64("group", "band"), F.lit(bundles))).alias("place"),
+        F.when(F.col("n_blocks") > 1, F.least("block", "other")).otherwise(single).alias("first"),
+        F.when(F.col("n_blocks") > 1, F.greatest("block", "other")).otherwise(single).alias("second"),
+        F.when(F.col("n_blocks") > 1, F.col("n_blocks")).otherwise(single).alias("many"),
+    )
+    found = S.cut(sets.groupBy("place", "first", "second", "many").applyInArrow(_verify(threshold), "node long, label long, links long"))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
     known = linked.join(classes, "node").join(nodes.select("node", "rep"), "node")
@@ -253,16 +286,17 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without those that are near copies of another one: of each class of jaccard_join
     the document with the smallest id stays, once; documents without an n-gram all stay."""
-    joined = S.cut(jaccard_join(docs).select("__id", "__th", "__stays", "n_grams"))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    gone = S.cut(joined.where("not __stays").select("__id", "__th").distinct())
-    again = S.cut(joined.where("__stays and n_grams > 0").groupBy("__id", "__th").count().where("count > 1").select("__id", "__th"))
+    joined = S.cut(jaccard_join(docs.select("doc_id", "text")).select("__id", "__th", "__stays", "n_grams"))
+    keyed = docs.select(S.id_of(docs).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), S.packed(docs).alias("row"))
+    named = [F.col("__id").alias("id"), F.col("__th").alias("th")]
+    gone = S.cut(joined.where("not __stays").select(*named).distinct())
+    again = S.cut(joined.where("__stays and n_grams > 0").groupBy("__id", "__th").count().where("count > 1").select(*named))
     (n_gone, _), (n_again, _) = S.measured(gone, F.lit(0)), S.measured(again, F.lit(0))
-    kept = S.attach(keyed, gone, ["__id", "__th"], 32 * n_gone, "left_anti")
+    kept = S.attach(keyed, gone, ["id", "th"], 32 * n_gone, "left_anti")
     if n_again:  # rows repeated as they are
-        once = S.attach(kept, again, ["__id", "__th"], 32 * n_again, "left_semi").dropDuplicates(["__id", "__th"])
-        kept = S.attach(kept, again, ["__id", "__th"], 32 * n_again, "left_anti").unionByName(once)
-    return kept.drop("__id", "__th")
+        once = S.attach(kept, again, ["id", "th"], 32 * n_again, "left_semi").dropDuplicates(["id", "th"])
+        kept = S.attach(kept, again, ["id", "th"], 32 * n_again, "left_anti").unionByName(once)
+    return kept.select(*S.unpacked(F.col("row"), docs))
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
