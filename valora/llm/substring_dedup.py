@@ -15,7 +15,10 @@ to bins either, where each would be one task's: as anchors they are taken as
 matching without being probed, and of whole windows the smallest id is found by
 one minimum per task. Which windows these are changes no result.
 
-Null texts are empty and have no words. Texts under WINDOW words lose nothing. A
+Windows are told apart by 64-bit hashes of their words. Of n different windows
+about n * n / 2 ** 65 pairs are expected to share one: 0.3 pairs for 3.4e9 windows.
+Ids are integers (see id_of); columns of the input may have any names but those of
+the result. Null texts are empty and have no words. Texts under WINDOW words lose nothing. A
 null id counts as larger than any other; rows of one id do not remove each
 other's words; a row that is repeated gives the same result each time.
 """
@@ -35,11 +38,9 @@ _LAST = (1 << 63) - 1
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and text as __id, __fp, __fp2 and __text, beside the input's own columns."""
+    """All of docs' columns as one struct, row, with doc_id and text as __id, __fp, __fp1, __fp2 and __text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({
-        "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__fp": F.hash(F.lit(11), text), "__fp1": F.xxhash64(F.lit(11), text), "__fp2": F.xxhash64(F.lit(12), text), "__text": text,
-    })
+    return docs.select(S.packed(docs).alias("row"), S.id_of(docs).alias("__id"), F.hash(F.lit(11), text).alias("__fp"), F.xxhash64(F.lit(11), text).alias("__fp1"), F.xxhash64(F.lit(12), text).alias("__fp2"), text.alias("__text"))
 
 
 def _rows(rows: pa.RecordBatch, name: str) -> np.ndarray:
@@ -168,49 +169,53 @@ def _repeated(e: B.Entries) -> np.ndarray:
     return order[ids > least]
 
 
-def _kept(names: list[str]):
-    """For each row its named columns, its words, the removed ones, and the others joined by a blank."""
+def _kept(batches):
+    """For each row its columns, its words, the removed ones, and the others joined by a blank."""
+    for rows, data, offs in K.blocks(batches, "__text"):
+        w = K.words(data, offs)
+        counts = w.counts
+        edge = np.zeros(len(w.start) + 1, np.int32)
+        whole = _rows(rows, "__whole")
+        for k, (lo, hi) in enumerate(zip(rows.column("__lo").to_pylist(), rows.column("__hi").to_pylist(), strict=True)):
+            if whole[k] and counts[k] >= WINDOW:
+                a, b = np.array([0]), np.array([counts[k]])
+            elif lo is not None:
+                a, b = np.frombuffer(lo, np.int32), np.frombuffer(hi, np.int32)
+            else:
+                continue
+            np.add.at(edge, w.at[k] + np.minimum(a, counts[k]), 1)
+            np.add.at(edge, w.at[k] + np.minimum(b, counts[k]), -1)
+        stay = np.cumsum(edge)[:-1] <= 0
+        n_kept = K.segment_sums(stay, w.at)
+        start, end, doc = w.start[stay], w.end[stay], w.doc()[stay]
+        more = np.zeros(len(start), np.int64)  # a blank after each kept word but the last of a text
+        more[:-1] = doc[1:] == doc[:-1]
+        mark = np.zeros(len(data) + 1, np.int8)
+        mark[start] += 1
+        np.subtract.at(mark, end + more, 1)
+        out = data.copy()
+        out[end[more > 0]] = 0x20
+        out = out[np.cumsum(mark[:-1]) > 0]
+        sizes = np.zeros(len(counts) + 1, np.int64)
+        np.add.at(sizes, doc + 1, end - start + more)
+        text = pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(np.cumsum(sizes)), pa.py_buffer(out))
+        yield pa.RecordBatch.from_arrays(
+            [rows.column(0), pa.array(counts), pa.array(counts - n_kept), text.cast(pa.string())],
+            names=["row", "n_words", "n_removed", "kept"],
+        )
 
-    def run(batches):
-        for rows, data, offs in K.blocks(batches, "__text"):
-            w = K.words(data, offs)
-            counts = w.counts
-            edge = np.zeros(len(w.start) + 1, np.int32)
-            whole = _rows(rows, "__whole")
-            for k, (lo, hi) in enumerate(zip(rows.column("__lo").to_pylist(), rows.column("__hi").to_pylist(), strict=True)):
-                if whole[k] and counts[k] >= WINDOW:
-                    a, b = np.array([0]), np.array([counts[k]])
-                elif lo is not None:
-                    a, b = np.frombuffer(lo, np.int32), np.frombuffer(hi, np.int32)
-                else:
-                    continue
-                np.add.at(edge, w.at[k] + np.minimum(a, counts[k]), 1)
-                np.add.at(edge, w.at[k] + np.minimum(b, counts[k]), -1)
-            stay = np.cumsum(edge)[:-1] <= 0
-            n_kept = K.segment_sums(stay, w.at)
-            start, end, doc = w.start[stay], w.end[stay], w.doc()[stay]
-            more = np.zeros(len(start), np.int64)  # a blank after each kept word but the last of a text
-            more[:-1] = doc[1:] == doc[:-1]
-            mark = np.zeros(len(data) + 1, np.int8)
-            mark[start] += 1
-            np.subtract.at(mark, end + more, 1)
-            out = data.copy()
-            out[end[more > 0]] = 0x20
-            out = out[np.cumsum(mark[:-1]) > 0]
-            sizes = np.zeros(len(counts) + 1, np.int64)
-            np.add.at(sizes, doc + 1, end - start + more)
-            text = pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(np.cumsum(sizes)), pa.py_buffer(out))
-            yield pa.RecordBatch.from_arrays(
-                [*[rows.column(i) for i in range(len(names))], pa.array(counts), pa.array(counts - n_kept), text.cast(pa.string())],
-                names=[*names, "__n_words", "__n_removed", "__kept"],
-            )
 
-    return run
+def dedup_substrings(docs: DataFrame) -> DataFrame:
+    """All columns of docs (doc_id and text at least) with __n_words, __n_removed and __kept, the kept words joined by
+    one blank. Columns of these three names raise ValueError."""
+    taken = {"__n_words", "__n_removed", "__kept"} & {c.lower() for c in docs.columns}
+    if taken:
+        raise ValueError(f"the result has columns of its own called {', '.join(sorted(taken))}")
+    return _deduped(docs).select(*S.unpacked(F.col("row"), docs), *[F.col(c).alias(f"__{c}") for c in ("n_words", "n_removed", "kept")])
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """All columns of docs (doc_id and text at least; names with __ in front are the operator's)
-    with __n_words, __n_removed and __kept, the kept words joined by one blank."""
+def _deduped(docs: DataFrame) -> DataFrame:
+    """docs' rows as a struct, row, with n_words, n_removed and kept."""
     S.small_batches(docs.sparkSession)
     keyed = _keyed(docs)
     slim = ["__id", "__fp", "__text"]
@@ -241,25 +246,28 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     )
     _, removed_bytes = S.measured(removed, F.coalesce(F.octet_length("lo") * 2, F.lit(0)) + 60)
     full = S.attach(keyed, removed.withColumnsRenamed({"lo": "__lo", "hi": "__hi", "whole": "__whole"}), ["__id", "__fp"], removed_bytes)
-    full = full.select(*S.every(docs), "__text", "__lo", "__hi", F.coalesce("__whole", F.lit(False)).alias("__whole"))
-    plain = [f"__c{k}" for k in range(len(docs.columns))]  # Arrow functions don't take names with dots
-    out = T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(plain, docs.schema.fields, strict=True)], T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__kept", T.StringType())])
-    done = full.toDF(*plain, "__text", "__lo", "__hi", "__whole").mapInArrow(_kept(plain), out)
-    return done.toDF(*docs.columns, "__n_words", "__n_removed", "__kept")
+    full = full.select("row", "__text", "__lo", "__hi", F.coalesce("__whole", F.lit(False)).alias("__whole"))
+    out = T.StructType([full.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    return full.mapInArrow(_kept, out)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the words that dedup_substrings removes taken out of text; texts that lose none stay
     as they are, documents that lose all their words go. n_chars, if there, follows the text."""
-    done = dedup_substrings(docs).where("__n_removed = 0 or __n_removed < __n_words").withColumn("text", F.when(F.col("__n_removed") > 0, F.col("__kept")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*S.every(docs))
+    changed = F.col("n_removed") > 0
+    out = []
+    for k, c in enumerate(docs.columns):
+        was = F.col("row")[f"c{k}"]
+        if c == "text":
+            was = F.when(changed, F.col("kept")).otherwise(was)
+        elif c == "n_chars":
+            was = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(was)
+        out.append(was.alias(c))
+    return _deduped(docs).where("n_removed = 0 or n_removed < n_words").select(*out)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = dedup_substrings(docs)
+    done = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return done.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
 
 
