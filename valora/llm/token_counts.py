@@ -8,7 +8,9 @@ with the identity normaliser that is before a run of blanks: the blank mark
 never follows another character inside a piece, which is tested on the model's
 own vocabulary. Each unit starts with its blanks, of which the first one is the
 prefix that the library adds by itself. Models for which this doesn't hold, and
-tokenizers files, are encoded text by text.
+tokenizers files, are encoded text by text. A worker keeps short units only, and
+a bounded number of characters of them: a text without blanks is one unit, which
+is encoded and forgotten.
 
 Null and empty texts have no tokens. Rows come out as they went in, repeated
 ones too; other columns of the input are kept by ``count_tokens`` only if named.
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from valora.llm import _kernel as K, _spark as S
 
-#: Units kept by a worker before its table starts anew; bytes of one batch to encode.
-CACHE_UNITS, BATCH_BYTES = 400_000, 1 << 18
+#: Characters of units that a worker keeps before its table starts anew; longest unit kept; bytes of one batch to encode.
+CACHE_CHARS, CACHE_UNIT, BATCH_BYTES = 4 << 20, 48, 1 << 18
 _UNIT = re.compile(" +[^ ]*")
 _MARK = "▁"
 
@@ -58,16 +60,17 @@ class Counter:
             self.model.no_padding()
             self.encode = lambda texts: [len(x.ids) for x in self.model.encode_batch(texts, add_special_tokens=False)]
         self.seen: dict[str, int] = {}
+        self.kept = 0
 
     def batches(self, texts: list[str]) -> Iterator[list[str]]:
-        """Texts sorted by length, in batches of about BATCH_BYTES."""
-        batch, size = [], 0
-        for text in sorted(texts, key=len):
-            if batch and size + len(text) > BATCH_BYTES:
+        """Texts sorted by length, in batches of about BATCH_BYTES bytes of UTF-8."""
+        batch, total = [], 0
+        for size, text in sorted((len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")), t) for t in texts):
+            if batch and total + size > BATCH_BYTES:
                 yield batch
-                batch, size = [], 0
+                batch, total = [], 0
             batch.append(text)
-            size += len(text) + 16
+            total += size + 16
         if batch:
             yield batch
 
@@ -79,16 +82,22 @@ class Counter:
             found = {t: n for batch in self.batches([*{*texts} - {""}]) for t, n in zip(batch, self.encode(batch), strict=True)}
             return [found.get(t, 0) for t in texts]
         split = [self.units(t) for t in texts]
-        if len(self.seen) > CACHE_UNITS:
+        if self.kept > CACHE_CHARS:
             self.seen.clear()
+            self.kept = 0
+        once: dict[str, int] = {}  # long units are not worth keeping
         new = {u for units in split for u in units if u not in self.seen}
         for batch in self.batches([*new]):
-            self.seen.update(zip(batch, self.encode([u[1:] for u in batch]), strict=True))
-            # a unit of one blank alone is the prefix of an empty rest, which the library doesn't see
-            if " " in batch:
-                self.seen[" "] = 1
-        get = self.seen.__getitem__
-        return [sum(map(get, units)) for units in split]
+            for unit, n in zip(batch, self.encode([u[1:] for u in batch]), strict=True):
+                if unit == " ":  # a blank alone is the prefix of an empty rest, which the library doesn't see
+                    n = 1
+                if len(unit) <= CACHE_UNIT:
+                    self.seen[unit] = n
+                    self.kept += len(unit) + 16
+                else:
+                    once[unit] = n
+        seen = self.seen
+        return [sum([seen[u] if u in seen else once[u] for u in units]) for units in split]
 
 
 _counters: dict[str, Counter] = {}
@@ -102,9 +111,14 @@ def counter_of(path: str) -> Counter:
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, n_bytes (UTF-8) and n_tokens of every row. ``path`` is readable on every executor."""
+    """keep columns, n_bytes (UTF-8) and n_tokens of every row. ``path`` is readable on every executor. Names of kept
+    columns may have dots; one that is called n_bytes or n_tokens raises ValueError, as the result has these."""
+    taken = {"n_bytes", "n_tokens"} & {k.lower() for k in keep}
+    if taken:
+        raise ValueError(f"the result's own columns can't be kept: {', '.join(sorted(taken))}")
     S.small_batches(docs.sparkSession)
-    kept = docs.select(*[F.col(k) for k in keep], F.col(text).alias("__text"))
+    plain = [f"c{k}" for k in range(len(keep))]  # Arrow functions don't take names with dots
+    kept = docs.select(*[F.col(f"`{k}`").alias(c) for k, c in zip(keep, plain, strict=True)], F.col(f"`{text}`").alias("__text"))
 
     def run(batches):
         counter = counter_of(path)
@@ -112,11 +126,11 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
             texts = [K.as_text(data[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*[rows.column(i) for i in range(len(keep))], pa.array(np.diff(offs)), pa.array(counter.counts(texts), pa.int64())],
-                names=[*keep, "n_bytes", "n_tokens"],
+                names=[*plain, "n_bytes", "n_tokens"],
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{fields}, n_bytes long, n_tokens long")
+    return kept.mapInArrow(run, f"{fields}, n_bytes long, n_tokens long").toDF(*keep, "n_bytes", "n_tokens")
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
