@@ -9,8 +9,8 @@ Reading back joins the bytes owned elsewhere, puts chunks in order, compares
 every chunk with its digest, and only then computes features.
 
 ``documents`` are stored as 8-bit samples: UTF-8, filled with bytes 255 to a
-positive multiple of FRAME. Null texts are empty and give one frame. A null id
-comes last. Repeated rows are copies. Payloads are told apart by two 64-bit
+positive multiple of FRAME. Null texts are empty and give one frame. Ids are
+integers (see id_of); a null id comes last. Other columns are not read. Repeated rows are copies. Payloads are told apart by two 64-bit
 hashes and their length.
 
 The stored form of a payload, which media_bytes and media_sha256 describe, is
@@ -36,7 +36,6 @@ BITS, LEAST, MOST = 9, 128, 4096
 NAME = 16
 #: Bytes to assemble in one group.
 GROUP_BYTES = 16 << 20
-_LAST = (1 << 63) - 1
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 _MEDIA = "id long, fp long, fp2 long, n_bytes long, copy boolean, lens binary, digests binary, foreign array<int>, given array<int>, own binary"
 
@@ -129,7 +128,7 @@ def store_media(docs: DataFrame) -> DataFrame:
     S.small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.lit(21), text).alias("fp"), F.xxhash64(F.lit(22), text).alias("fp2"), text.alias("__text")
+        S.id_of(docs).alias("id"), F.xxhash64(F.lit(21), text).alias("fp"), F.xxhash64(F.lit(22), text).alias("fp2"), text.alias("__text")
     )
     chunks = S.cut(keyed.mapInArrow(_digests, "digest binary, id long, fp long, fp2 long, ord int"))
     heads = chunks.where("ord = 0")
@@ -274,4 +273,4 @@ def read_media(media: DataFrame) -> DataFrame:
 def op10_media_chunks(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = read_media(store_media(docs))
-    return done.select(F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id"), *[c for c in done.columns if c != "id"])
+    return done.select(F.when(F.col("id") != S.NULL_ID, F.col("id")).alias("doc_id"), *[c for c in done.columns if c != "id"])
