@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
@@ -120,6 +121,22 @@ class TestTokenCounts:
         source = odd.select("doc_id", "text").collect()
         assert sorted((r["doc_id"] or -1, r["n_bytes"], r["n_tokens"]) for r in got) == sorted((r["doc_id"] or -1, len((r["text"] or "").encode()), n) for r, n in zip(source, self.want([r["text"] for r in source]), strict=True))
 
+    def test_long_units_are_forgotten(self, monkeypatch):
+        monkeypatch.setattr(token_counts, "CACHE_CHARS", 300)
+        counter = token_counts.Counter(MODEL)
+        rng = random.Random(3)
+        for _ in range(30):
+            values = ["".join(rng.choice("abc日") for _ in range(400)) for _ in range(3)] + [words(20, rng.randint(0, 9)), " a  b "]
+            assert counter.counts(values) == self.want(values)
+            assert max(map(len, counter.seen)) <= token_counts.CACHE_UNIT and sum(map(len, counter.seen)) < 1000
+
+    def test_batches_are_balanced_by_bytes(self, monkeypatch):
+        monkeypatch.setattr(token_counts, "BATCH_BYTES", 100)
+        counter = token_counts.Counter(MODEL)
+        found = [*counter.batches(["日" * 20, "a" * 60, "b" * 10, "c" * 10])]
+        assert sorted(x for b in found for x in b) == sorted(["日" * 20, "a" * 60, "b" * 10, "c" * 10])
+        assert all(len(b) == 1 or sum(len(x.encode()) + 16 for x in b) <= 116 for b in found)
+
     def test_json_tokenizer(self, spark):
         from tokenizers import Tokenizer
 
@@ -236,6 +253,29 @@ class TestNgramJoin:
         twice = spark.createDataFrame([(1, "a b c d e f")] * 3, "doc_id long, text string")
         assert ngram_join.first_of_each(twice).count() == 1
 
+    def test_finds_what_an_exact_join_finds(self, spark):
+        """All pairs of sf0.01's documents by an index of their n-grams."""
+        docs = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+        sets, index = {}, collections.defaultdict(list)
+        for r in docs.collect():
+            w = SPACED.findall(lowered(r["text"]))
+            sets[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+            for g in sets[r["doc_id"]]:
+                index[g].append(r["doc_id"])
+        links = collections.Counter()
+        for i, s in sets.items():
+            both = collections.Counter(j for g in s for j in index[g] if j != i)
+            links[i] = sum(n >= 0.8 * len(s | sets[j]) for j, n in both.items() if n >= 0.8 * len(s))
+        got = {r["doc_id"]: r["n_links"] for r in ngram_join.jaccard_join(docs).collect()}
+        assert sum(links.values()) > 100 and got == dict(links)
+
+    def test_candidates_share_a_band(self):
+        rng = np.random.default_rng(2)
+        a, b = rng.integers(0, 4, (9, 3)), rng.integers(0, 4, (7, 3))
+        every, found = ngram_join.candidates(a, b, -1), [ngram_join.candidates(a, b, k) for k in range(3)]
+        assert (every == (a[:, None, :] == b[None, :, :]).any(2)).all()
+        assert (sum(x.astype(int) for x in found) == every).all()  # each pair once
+
     def test_banding_finds_what_it_should(self):
         bands, rows = ngram_join.banding(0.8, 0.999)
         assert bands * rows <= ngram_join.MOST_HASHES and 1 - (1 - 0.8**rows) ** bands >= 0.999
@@ -300,6 +340,64 @@ class TestDecontaminate:
         got = decontaminate.contaminated(df, self.bench(spark, "Red green, blue white black", "red green blue white black", "the")).collect()
         assert [(r["doc_id"], r["item_id"], r["n_items"], r["first_word"], r["overlap"]) for r in got] == [(0, 0, 2, 1, 1.0)]
 
+    def brute(self, docs, items):
+        """Every document against every item, place by place."""
+        split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lowered(t))
+        by_words = collections.defaultdict(list)
+        for i, t in items:
+            by_words[tuple(split(t))].append(i)
+        out = []
+        for d, t in docs:
+            w, best, n = split(t), None, 0
+            for item, ids in by_words.items():
+                if len(item) < 5:
+                    continue
+                size = min(13, len(item))
+                covered, first = set(), None
+                for shift in range(-len(item), len(w) + 1):
+                    for lo in range(max(0, -shift), min(len(item), len(w) - shift) - size + 1):
+                        same = [k for k in range(lo, lo + size) if w[k + shift] == item[k]]
+                        if 10 * len(same) >= 8 * size:
+                            covered |= {*same}
+                            first = min([x for x in (first, same[0] + shift) if x is not None])
+                if covered:
+                    n += len(ids)
+                    found = (len(covered) / len(item), len(item), -min(ids)), (min(ids), len(item), len(covered), first)
+                    best = max([x for x in (best, found) if x is not None])
+            if best:
+                out.append((d, *best[1], n))
+        return sorted(out)
+
+    def test_random_documents_against_every_item(self, spark):
+        rng = random.Random(17)
+        word = lambda: rng.choice("abcdefghijkl") * rng.randint(1, 3)
+        items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([3, 5, 7, 9, 10, 11, 12, 13, 14, 20, 30, 30, 60])]
+        items += [(90, items[8][1]), (91, items[10][1] + " " + items[9][1])]
+        docs = []
+        for d in range(160):
+            w = [word() for _ in range(rng.randint(0, 40))]
+            for _ in range(rng.randint(0, 2)):
+                part = rng.choice(items)[1].split()
+                cut = rng.randint(0, max(0, len(part) - 13)) if rng.random() < 0.5 else 0
+                part = [word() if rng.random() < 0.12 else x for x in part[cut:]]
+                at = rng.randint(0, len(w))
+                w[at:at] = part
+            docs.append((d, " ".join(w)))
+        want = self.brute(docs, items)
+        df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        got = decontaminate.contaminated(df, bench).collect()
+        assert len(want) > 60
+        assert sorted((r["doc_id"], r["item_id"], r["item_words"], r["same_words"], r["first_word"], r["n_items"]) for r in got) == want
+
+    def test_many_items_of_one_document(self, spark, monkeypatch):
+        shared = words(15, 41)
+        bench = self.bench(spark, *[f"{shared} {words(20, 500 + i)}" for i in range(50)])
+        df = texts(spark, f"x {shared} y", "x", f"{shared} {words(20, 507)}")
+        for n in (32, 3):
+            monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", n)
+            got = sorted((r["doc_id"], r["item_id"], r["n_items"]) for r in decontaminate.contaminated(df, bench).collect())
+            assert got == [(0, 0, 50), (2, 7, 50)]
+
     def test_edges(self, spark, odd, empty):
         bench = self.bench(spark, odd.where("doc_id = 1").first()["text"], "")
         got = sorted(r["doc_id"] for r in decontaminate.contaminated(odd, bench).collect())
@@ -328,6 +426,56 @@ class TestLicenseScan:
         got = {r["doc_id"]: (r["labels"], r["base_labels"]) for r in license_scan.scan(df).collect()}
         assert got == {0: ("mit", ""), 1: ("mit", ""), 2: ("cc-by-nc", ""), 3: ("", ""), 4: ("mit", "mit")}
 
+    def best_stretch(self, text):
+        """By label the largest share of each notice: all diagonals of a stretch, for every first diagonal."""
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+        out = {}
+        for notice, label in license_scan.NOTICES.items():
+            t = notice.split()
+            drift = int(len(t) * 0.5) + 3
+            hits = collections.defaultdict(set)
+            for i in range(len(w) - 1):
+                for j in range(len(t) - 1):
+                    if w[i : i + 2] == t[j : j + 2]:
+                        hits[i - j].add(j)
+            diagonals = sorted(hits)
+            for k, first in enumerate(diagonals):
+                found, last = set(), first
+                for d in diagonals[k:]:
+                    if d - last > 3 or d - first > drift:
+                        break
+                    found |= hits[d]
+                    last = d
+                share = len(found | {j + 1 for j in found}) / len(t)
+                out[label] = max(out.get(label, 0), share)
+        return out
+
+    def test_labels_against_every_stretch(self, spark):
+        rng = random.Random(8)
+        notices, values = [*license_scan.NOTICES], []
+        for _ in range(120):
+            w = []
+            for _ in range(rng.randint(1, 3)):
+                t = rng.choice(notices).split()
+                t = [x for x in t if rng.random() > rng.choice([0, 0, 0.1, 0.2])]
+                for _ in range(rng.choice([0, 0, 1, 3, 8])):
+                    t.insert(rng.randint(0, len(t)), rng.choice([*t, "zz", "qq"]) if t else "zz")
+                if rng.random() < 0.5:  # some of its words again and again before or after it
+                    lo = rng.randint(0, max(0, len(t) - 3))
+                    again = t[lo : lo + rng.randint(2, 4)] * rng.randint(2, 15)
+                    t = again + t if rng.random() < 0.5 else t + again
+                w += t + ["word"] * rng.randint(0, 5)
+            values.append(" ".join(w))
+        values.append("under the " * 15 + "licensed under the apache license version 2 0")
+        got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(texts(spark, *values)).collect()}
+        for i, t in enumerate(values):
+            shares, base = self.best_stretch(t), self.brute(t)[4]
+            labels = {x for x, share in shares.items() if share >= 0.8} | {x for x in base.split(",") if x}
+            score = 1.0 if base else max([x for x in shares.values() if x >= 0.5], default=0.0)
+            assert got[i] == (",".join(sorted(labels)), pytest.approx(score)), t
+        assert "apache-2.0" in got[len(values) - 1][0]
+        assert sum("," in x for x, _ in got.values()) > 10 and sum(not x for x, _ in got.values()) > 10
+
     def test_empty(self, empty):
         assert license_scan.scan(empty).count() == 0
 
@@ -365,6 +513,36 @@ class TestMixing:
         again = sorted((r["doc_id"], r["taken"]) for r in mixing.mix(df.repartition(5)).collect())
         assert again == sorted((r["doc_id"], r["taken"]) for r in got)
 
+    def test_copies_are_those_of_the_running_rates(self, spark):
+        rng = random.Random(5)
+        rows = [(i, words(rng.choice([1, 2, 5, 5, 9, 30]), i), rng.choice(["a", "b", "b", None])) for i in range(200)]
+        got = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+        for source in ("a", "b", None):
+            mine = sorted((r for r in got.values() if r["source"] == source), key=lambda r: (-r["size"], r["doc_id"]))
+            assert sum(r["rate"] * r["size"] for r in mine) == pytest.approx(mine[0]["target"], rel=1e-5)
+            logs = [(r["size"], math.log(r["rate"])) for r in mine if r["rate"] < 2]
+            assert all(a / x == pytest.approx(logs[0][1] / logs[0][0], rel=1e-6) for x, a in logs)  # one multiplier
+            done = 0.0
+            for r in mine:
+                before, done = done, done + r["rate"]
+                assert r["copies"] == min(2, max(0, math.floor(done + 0.5 + 1e-9) - math.floor(before + 0.5 + 1e-9)))
+                assert r["taken"] == r["copies"] * r["size"]
+
+    def test_many_sources_are_numbered_by_code_point(self, spark):
+        names = ["b", "a", "Z", "é", "", "zz", "日本", "a b", None, *[f"s{i}" for i in range(80)]]
+        df = spark.createDataFrame([(n, 10 + len(n or "")) for n in names], "__source string, size long")
+        want = sorted(n for n in names if n is not None) + [None]
+        assert [r["__source"] for r in sorted(mixing.ranked(df).collect(), key=lambda r: r["nth"])] == want
+        assert [r["nth"] for r in sorted(mixing.ranked(df).collect(), key=lambda r: r["nth"])] == [*range(len(names))]
+        level = self.level({n: 10 + len(n or "") for n in names})
+        assert {r["__source"]: r["target"] for r in mixing.targets(df).collect()} == pytest.approx(level)
+
+    def test_a_source_that_is_not_solved_raises(self, spark, monkeypatch):
+        monkeypatch.setattr(mixing, "ROUNDS", 1)
+        rows = [(i, words(i % 9 + 1, i), "ab"[i % 2]) for i in range(30)] + [(99, words(400, 3), "b")]
+        with pytest.raises(ArithmeticError):
+            mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+
     def test_edges(self, odd, empty):
         got = mixing.mix(odd).collect()
         assert len(got) == 14 and all(r["taken"] <= 2 * r["size"] for r in got)
@@ -390,6 +568,27 @@ class TestLanguageId:
         assert {(r["lang_pred"], r["score"]) for r in language_id.identify(odd, single).collect()} == {("fr", 1.0), ("und", 0.0)}
         assert language_id.identify(empty, model).count() == 0
 
+    def test_decoding_takes_the_cheapest_codeword(self):
+        rng = np.random.default_rng(6)
+        for n in (2, 3, 5, 8):
+            x = np.abs(rng.normal(size=(60, 16))).astype(np.float32)
+            y = np.arange(60) % n
+            x[np.arange(60), y] += 4
+            m = language_id.Model([f"l{k}" for k in range(n)], x, y)
+            best, score, gap = m.decode(x)
+            for i in range(60):
+                bits = [float(x[i] @ m.w[:, k] + m.b[k]) for k in range(m.code.shape[1])]
+                cost = [sum(m.weight[k] * math.log1p(math.exp(-max(-30, min(30, v)) * word[k])) for k, v in enumerate(bits)) for word in m.code]
+                order = sorted(cost)
+                assert cost[best[i]] == pytest.approx(order[0], rel=1e-4, abs=1e-6) and gap[i] == pytest.approx(order[1] - order[0], rel=1e-3, abs=1e-4)
+                assert score[i] == pytest.approx(1 / sum(math.exp(order[0] - c) for c in cost), rel=1e-3)
+            assert (best == y).mean() > 0.9
+
+    def test_every_language_can_be_predicted(self, spark):
+        rows = [(i * 10 + j, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 30, f"l{i:03}") for i in range(300) for j in range(2)]
+        model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        assert len(model.languages) == 300
+
     @pytest.mark.parametrize("n", [2, 4, 5, 9, 30])
     def test_codewords_are_apart(self, n):
         code = language_id.codewords(n)
@@ -412,6 +611,35 @@ class TestQuality:
         assert {r["__score"] for r in quality.score(odd, quality.train(odd, labels.limit(0)), ["doc_id"]).collect()} == {1.0} or min(r["__score"] for r in quality.score(odd, quality.train(odd, labels.limit(0)), ["doc_id"]).collect()) > 0.99
         assert max(r["__score"] for r in quality.score(odd, quality.train(odd, labels.where("quality = 0 and doc_id = 6")), ["doc_id"]).collect()) < 0.01
 
+    def test_walk_is_that_of_each_tree(self):
+        rng = np.random.default_rng(4)
+        x = rng.normal(size=(300, 5))
+        trees = quality.grow(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float), np.ones(300))
+        for row, got in zip(x, trees.predict(x), strict=True):
+            total = trees.base
+            for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+                node = 0
+                for _ in range(quality.DEPTH):
+                    node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+                total += leaf[node - (2**quality.DEPTH - 1)]
+            assert got == pytest.approx(1 / (1 + math.exp(-total)))
+
+    def test_statistics_are_those_of_the_text(self):
+        values = ["One two two, three!\nfour 5x $ AB", "", "ééé a a a", "x" * 300]
+        batch = pa.record_batch([pa.array(values)], names=["t"])
+        _, data, offs = next(K.texts(batch, "t"))
+        for t, row in zip(values, quality.statistics(data, offs), strict=True):
+            got, w, raw = dict(zip(quality.NAMES, row, strict=True)), SPACED.findall(t), t.encode()
+            n = max(len(w), 1)
+            low = collections.Counter(lowered(x) for x in w)
+            want = {
+                "bytes": math.log1p(len(raw)), "words": math.log1p(len(w)), "word_length": sum(len(x.encode()) for x in w) / n, "upper": sum(65 <= b < 91 for b in raw) / max(len(raw), 1),
+                "digits": sum(48 <= b < 58 for b in raw) / max(len(raw), 1), "high": sum(b > 127 for b in raw) / max(len(raw), 1), "distinct": len(low) / n, "top_word": max(low.values(), default=0) / n,
+                "stutter": sum(lowered(a) == lowered(b) for a, b in zip(w[:-1], w[1:], strict=True)) / n, "entropy": -sum(c / len(raw) * math.log2(c / len(raw)) for c in collections.Counter(raw).values()),
+                "digit_words": sum(any(c.isascii() and c.isdigit() for c in x) for x in w) / n, "alone_words": sum(len(x.encode()) == 1 for x in w) / n,
+            }
+            assert {k: got[k] for k in want} == pytest.approx(want)
+
     def test_trees_separate(self):
         rng = np.random.default_rng(3)
         x = rng.normal(size=(600, 4))
@@ -472,6 +700,46 @@ class TestLmScore:
         assert a > 0.7 * b
         assert lm_score.score(empty, MODEL, model).count() == 0
 
+    def test_windows_are_shared_out_by_documents(self):
+        m = lm_score.Attention(np.arange(3000, 0, -1), np.zeros(3000, bool))
+        ids = np.random.default_rng(3).integers(0, 3000, 700).astype(np.int32)
+        at = np.array([0, 10, 60, 500, 700])
+        seq, every = m.windows(ids, at)
+        found = [m.windows(ids, at, np.full(4, k), 3) for k in range(3)]
+        assert sorted(map(tuple, np.concatenate([x[1][x[0] > 1] for x in found]))) == sorted(map(tuple, every[seq > 1]))  # each window of a long text once
+        assert all(set(x[0]) == {0, 1, 2, 3} for x in found)
+
+    def test_windows_hold_what_stands_before_each_place(self):
+        m = lm_score.Attention(np.arange(3000, 0, -1), np.zeros(3000, bool))
+        ids = np.random.default_rng(3).integers(0, 3000, 130).astype(np.int32)
+        at = np.array([0, 1, 60, 130])
+        seq, both = m.windows(ids, at)
+        for row, k, first in zip(both, seq, lm_score.windows(at)[1], strict=True):
+            for j in range(lm_score.CONTEXT + lm_score.STEP):
+                place = first - lm_score.CONTEXT + j
+                want = m.begin if place == at[k] else m.input[ids[place - 1]] if at[k] < place < at[k + 1] else m.pad
+                assert row[j] == want
+            target = row[lm_score.CONTEXT + lm_score.STEP :]
+            assert target.tolist() == [m.cls[ids[p]] if p < at[k + 1] else -1 for p in range(first, first + lm_score.STEP)]
+
+    def test_gradients_are_those_of_the_loss(self):
+        rng = np.random.default_rng(5)
+        m = lm_score.Attention(rng.integers(0, 900, 3000), rng.random(3000) < 0.4)
+        m.follow(rng.integers(0, 3, lm_score.INPUTS * lm_score.CLASSES))
+        ids = rng.integers(0, 3000, 100).astype(np.int32)
+        _, both = m.windows(ids, np.array([0, 30, 100]))
+        x, target = both[:, : lm_score.CONTEXT + lm_score.STEP], both[:, lm_score.CONTEXT + lm_score.STEP :]
+        scored = (target >= 0).astype(np.float32)
+        m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+        loss = lambda: -(m.log_classes(x, np.maximum(target, 0)) * scored).sum(dtype=float) / scored.sum()
+        grads = m.gradients(x, np.maximum(target, 0), scored)
+        for k, cell in (("ask", (x[0, 10], 3)), ("ask", (x[1, 9], lm_score.HALF + 1)), ("give", (x[0, 9], 5)), ("give", (x[1, 12], lm_score.HALF + 2)), ("G", (4, 7)), ("M", (2, 5, 6)), ("lag", (1,))):
+            was = m.p[k][cell]
+            up, down = (m.p[k].__setitem__(cell, was + d) or loss() for d in (0.02, -0.02))
+            m.p[k][cell] = was
+            assert grads[k][cell] == pytest.approx((up - down) / 0.04, rel=0.05, abs=2e-5), (k, cell)
+        assert not grads["ask"][:, [lm_score.WIDTH, -1]].any() and not grads["give"][:, [lm_score.WIDTH, -1]].any()
+
     def test_ids_ranked_under_212_have_their_own_class(self):
         m = lm_score.Attention(np.arange(3000, 0, -1), np.zeros(3000, bool))
         assert m.cls[:212].tolist() == list(range(212)) and m.cls[212:].min() >= 212
@@ -480,12 +748,16 @@ class TestLmScore:
         df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
         monkeypatch.setattr(lm_score, "SAMPLE", 5)
         monkeypatch.setattr(lm_score, "STEPS", 20)
-        model = lm_score.fit(df, MODEL)
-        got = lm_score.score(df, MODEL, model)
-        assert model.learned == got.agg(F.sum(F.ceil(F.col("n_pieces") / lm_score.STEP))).first()[0]
-        few = lm_score.fit(df, MODEL)
+        tokens = lm_score.tokenised(df, MODEL)
+        tokens.rows = tokens.rows.withColumn("trains", F.lit(True))
+        n = np.array([-(-r["n"] // (2 * lm_score.STEP)) for r in tokens.rows.select(F.octet_length("ids").alias("n")).collect()])
+        learned = lm_score.fit_tokens(tokens).learned  # each document's share of its windows, one at least
+        assert max(len(n), n.sum() // lm_score.LEARN_EVERY) <= learned <= (n // lm_score.LEARN_EVERY + 1).sum()
+        monkeypatch.setattr(lm_score, "LEARN_EVERY", 1)
+        few = lm_score.fit_tokens(tokens)
+        assert few.learned == n.sum()
         monkeypatch.setattr(lm_score, "LATER_RATE", 0.0)
-        start = lm_score.fit(df, MODEL)
+        start = lm_score.fit_tokens(tokens)
         a, b = (lm_score.score(df, MODEL, m).agg(F.sum("score")).first()[0] for m in (few, start))
         assert a > b
 
@@ -516,6 +788,37 @@ class TestMediaChunks:
             assert (g["n_bytes"], g["payload_bytes"], g["tail_crc32"]) == (len(raw), size, zlib.crc32(payload[-32:]))
         assert len({(r["payload_sha256"], r["media_bytes"], r["media_sha256"], r["feature"]) for r in got}) == len(by)
 
+    def chunked(self, payload):
+        """Cut points by the definition: a hash of the last 32 bytes with nine leading zeros, 128 to 4096 bytes apart."""
+        ends, last = [], 0
+        for p in range(1, len(payload) + 1):
+            h = 0
+            for b in payload[max(0, p - 32) : p]:
+                h = (2 * h + int(media_chunks._GEAR[b])) & 0xFFFFFFFF
+            if p - last == 4096 or (p - last >= 128 and h >> 23 == 0):
+                ends.append(p)
+                last = p
+        return ends if last == len(payload) else [*ends, len(payload)]
+
+    def test_stored_form_and_features_by_brute_force(self, spark):
+        values = [words(300, 3), "é" * 400, "", words(900, 4) + "\n" + words(300, 3)]
+        got = {r["id"]: r for r in media_chunks.read_media(media_chunks.store_media(texts(spark, *values))).collect()}
+        for i, t in enumerate(values):
+            raw = t.encode()
+            payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+            edges = [0, *self.chunked(payload)]
+            parts = [payload[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            form = b"".join(len(p).to_bytes(4, "big") + hashlib.sha256(p).digest() for p in parts) + payload
+            n, mean = len(payload), sum(payload) / len(payload)
+            counts = collections.Counter(payload)
+            feature = {
+                "chunks": len(parts), "mean": round(mean, 4), "std": round(math.sqrt(sum((b - mean) ** 2 for b in payload) / n), 4),
+                "entropy": round(-sum(c / n * math.log2(c / n) for c in counts.values()), 4), "bands": [sum(c for b, c in counts.items() if b // 32 == k) for k in range(8)],
+            }
+            assert (got[i]["media_bytes"], got[i]["media_sha256"]) == (len(form), hashlib.sha256(form).hexdigest())
+            found = json.loads(got[i]["feature"])
+            assert found.keys() == feature.keys() and all(found[k] == pytest.approx(v, abs=2e-4) for k, v in feature.items())
+
     def test_shared_chunks_are_stored_once(self, spark):
         a = LONG[:60_000]
         df = texts(spark, a, "some head " + a, a + " some tail", a)
@@ -541,6 +844,52 @@ class TestMediaChunks:
         assert media_chunks.read_media(media_chunks.store_media(empty)).count() == 0
 
 
+class TestNames:
+    """Columns called like the operators' own, and ids that are no integers."""
+
+    @pytest.fixture(scope="class")
+    def clash(self, spark, odd):
+        names = ["__id", "__th", "__fp", "__text", "__score", "__kept", "n_bytes", "n_words", "id", "th", "row", "item", "score", "hash", "node", "c0", "__l", "nth", "size", "a.b", "__source", "unit", "lo", "hi"]
+        return odd.withColumns({n: F.lit(k) for k, n in enumerate(names)})
+
+    def test_kept_columns(self, spark, clash):
+        labels = spark.createDataFrame([(1, 1), (2, 1), (6, 0)], "doc_id long, quality int")
+        bench = spark.createDataFrame([(1, clash.where("doc_id = 1").first()["text"])], "item_id long, text string")
+        plain = clash.drop("__kept")
+        for df, done in ((clash, ngram_join.first_of_each), (clash, substring_dedup.without_repeats), (plain, substring_dedup.dedup_substrings), (clash, lambda d: decontaminate.clean(d, bench)), (clash, lambda d: quality.good(d, labels))):
+            got = done(df)
+            assert got.columns[: len(df.columns)] == df.columns
+            row = got.where("doc_id = 6").first() or got.where("doc_id = 3").first()
+            assert [row[c] for c in df.columns[5:]] == [clash.columns.index(c) - 5 for c in df.columns[5:]]
+        for bad in (lambda: substring_dedup.dedup_substrings(clash), lambda: quality.score(clash, quality.train(clash, labels), ["__score"]), lambda: token_counts.count_tokens(clash, MODEL, keep=("n_bytes",))):
+            with pytest.raises(ValueError, match="__kept|__score|n_bytes"):
+                bad()
+
+    def test_other_columns_are_not_read(self, spark, clash, odd):
+        model = language_id.train(clash.where(F.col("lang").isNotNull()))
+        order = lambda df: sorted(map(str, df.collect()))
+        assert order(language_id.identify(clash, model)) == order(language_id.identify(odd, model))
+        assert order(license_scan.scan(clash)) == order(license_scan.scan(odd)) and order(mixing.mix(clash)) == order(mixing.mix(odd))
+        assert order(ngram_join.jaccard_join(clash)) == order(ngram_join.jaccard_join(odd))
+        read = lambda df: order(media_chunks.read_media(media_chunks.store_media(df)))
+        assert read(clash) == read(odd)
+        lm = lm_score.fit(odd, MODEL)
+        assert order(lm_score.score(clash, MODEL, lm)) == order(lm_score.score(odd, MODEL, lm))
+        counted = token_counts.count_tokens(clash, MODEL, keep=("doc_id", "a.b", "__text"))
+        assert counted.columns == ["doc_id", "a.b", "__text", "n_bytes", "n_tokens"] and counted.count() == 14
+
+    def test_ids_that_are_no_integers(self, spark):
+        named = spark.createDataFrame([("x", "a b c", "s")], "doc_id string, text string, source string")
+        last = spark.createDataFrame([((1 << 63) - 1, "a b c d e f")], "doc_id long, text string")
+        bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+        for use in (ngram_join.jaccard_join, substring_dedup.dedup_substrings, media_chunks.store_media, lambda d: decontaminate.contaminated(d, bench), lambda d: lm_score.fit(d, MODEL)):
+            with pytest.raises(TypeError, match="integer"):
+                use(named)
+        with pytest.raises(Exception, match="stands for null"):
+            ngram_join.jaccard_join(last).collect()
+        assert mixing.mix(named).count() == license_scan.scan(named).count() == token_counts.count_tokens(named, MODEL).count() == 1
+
+
 class TestPipeline:
     def test_odd_rows_and_extra_columns(self, spark, odd, empty, tmp_path):
         import corpus_pipeline as C
