@@ -79,11 +79,42 @@ def lift_ratio(raw: Column) -> Column:
     return F.try_divide(extracted(raw, LADDER, 1).cast("double"), extracted(raw, LADDER, 2).cast("double"))
 
 
+# What an attached field may say.
+OWNERSHIPS, TAX_CLASSES, TENURES = ("sole", "shared"), ("over five years", "over two years", "under two years"), ("commodity", "public", "affordable")
+
+
+def attached(raw: Column) -> dict[str, tuple[Column, Column]]:
+    """Fields of an attached text such as 'area: Park; ownership: sole; tax: over two years; tenure: public', each with
+    its status. What isn't said is MISSING, what can't be read a PARSE_FAILURE; neither is guessed."""
+    out = {}
+    for name, label, known in (("area_block", "area", None), ("ownership", "ownership", OWNERSHIPS), ("tax_class", "tax", TAX_CLASSES), ("tenure", "tenure", TENURES)):
+        said = extracted(F.lower(raw) if known else raw, rf"(?:^|; ?){label}: ([^;]*)")
+        out[name] = tagged(F.trim(said), F.when(F.trim(said).isin(*known), F.trim(said)) if known else F.nullif(F.trim(said), F.lit("")))
+    return out
+
+
+# Kinds of building.
+BUILDINGS = ("tower", "slab", "slab and tower", "bungalow")
+
+
+def building_type(raw: Column) -> tuple[Column, Column]:
+    return tagged(raw, F.when(F.lower(F.trim(raw)).isin(*BUILDINGS), F.lower(F.trim(raw))))
+
+
+def efficiency(net: Column, gross: Column) -> Column:
+    """Share of the gross area that is usable; null where either is unknown or the gross area is the smaller one."""
+    return F.when(gross >= net, F.try_divide(net, gross))
+
+
 # Shapes of text that must not be published.
 SENSITIVE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "phone": r"\+?[0-9]{1,2} \([0-9]{3}\) [0-9]{3}-[0-9]{4}",
+    "national id": r"\b[0-9]{17}[0-9Xx]\b",
     "card": r"\b[0-9]{16}\b",
+    "listing": r"\bLJ[0-9]{6,}\b",
+    "user": r"\bUSER-[0-9A-Za-z]+\b",
+    "token": r"\bsk-[0-9A-Za-z]{8,}\b",
     "address": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
     "key": r"\b[0-9a-f]{32,}\b",
 }

@@ -54,6 +54,21 @@ def arrival(batch: DataFrame, previous: DataFrame, key: str, value: str, date: s
     return j.agg(F.sum("rows").alias("rows"), F.count_if(F.col("__p").isNull()).alias("new_keys"), F.count_if(F.col("__p").isNotNull() & ~F.col("now").eqNullSafe(F.col("was"))).alias("revised"), F.sum(F.col("rows") - 1).alias("repeats"), F.max("newest").alias("newest"))
 
 
+def freshness(batch: DataFrame, date: str, as_of: Column, recent_days: int = 90) -> DataFrame:
+    """How recent a batch is: rows of the last days before a date, their share, and days since the newest row."""
+    recent = F.col(date).between(F.date_sub(as_of, recent_days), as_of)
+    return batch.agg(F.count_if(recent).alias("recent"), F.avg(recent.cast("int")).alias("recent_share"), F.datediff(as_of, F.max(date)).alias("stale_days"))
+
+
+def registry_check(planned: DataFrame, runs: DataFrame) -> DataFrame:
+    """Experiment accounting: planned (kind, units) against the runs (kind, unit) that took place. Units that ran twice
+    count once; runs of kinds that were not planned, such as quality checks, stand by themselves with no number wanted."""
+    done = runs.groupBy("kind").agg(F.count_distinct("unit").alias("n"), F.count(F.lit(1)).alias("runs")).withColumnRenamed("kind", "__k")
+    j = planned.groupBy("kind").agg(F.sum("units").alias("want")).join(done, F.col("kind") == F.col("__k"), "full_outer")
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return j.select(F.coalesce("kind", "__k").alias("kind"), "want", n.alias("n"), F.coalesce("runs", F.lit(0).cast("long")).alias("runs"), F.coalesce(F.col("want") == n, F.col("want").isNull()).alias("ok"))
+
+
 def drift(current: DataFrame, history: DataFrame) -> DataFrame:
     """current: community_id, current_block (null if missing); history: community_id, block. Rows by category,
     and whether more than half have drifted."""

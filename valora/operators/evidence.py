@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from valora.config import PARAMS
+from valora.operators.quantiles import exact_quantiles
 from valora.sources.tables import day
 
 LEVELS = ("community", "block", "district")
@@ -20,9 +21,12 @@ def before(sales: DataFrame, cutoff: Column, days: int = PARAMS.evidence_days) -
 
 
 def level_medians(sales: DataFrame, cutoff: Column, level: str, days: int = PARAMS.evidence_days) -> DataFrame:
-    """key, median unit price and number of cases of one level, in the window before the cutoff."""
-    key = KEYS[level]
-    return before(sales, cutoff, days).groupBy(F.col(key).alias(f"{level}_key")).agg(F.percentile("unit_price", 0.5).alias(f"{level}_median"), F.count(F.lit(1)).alias(f"{level}_n"))
+    """key, median unit price and number of cases of one level, in the window before the cutoff. Blocks and districts
+    are few, whatever the number of sales: their medians don't hold a group in one task."""
+    named = before(sales, cutoff, days).select(F.col(KEYS[level]).alias(f"{level}_key"), "unit_price")
+    if level == "community":
+        return named.groupBy("community_key").agg(F.percentile("unit_price", 0.5).alias("community_median"), F.count(F.lit(1)).alias("community_n"))
+    return exact_quantiles(named, [f"{level}_key"], "unit_price", {f"{level}_median": 0.5}).withColumnRenamed("n", f"{level}_n")
 
 
 def with_fallback(targets: DataFrame, sales: DataFrame, cutoff: Column, days: int = PARAMS.evidence_days) -> DataFrame:
@@ -37,43 +41,121 @@ def with_fallback(targets: DataFrame, sales: DataFrame, cutoff: Column, days: in
 
 
 def rolling_median(sales: DataFrame, key: str, days: int = PARAMS.evidence_days) -> DataFrame:
-    """Each sale with the median and number of its key's earlier sales, up to ``days`` back."""
-    w = W.partitionBy(key).orderBy(F.unix_date("sale_date")).rangeBetween(-days, -1)
-    return sales.withColumns({"rolling_median": F.percentile("unit_price", 0.5).over(w), "rolling_n": F.count(F.lit(1)).over(w)})
+    """Each sale with the median and number of its key's earlier sales, up to ``days`` back. A key is split by calendar
+    years, each with the sales before it that its windows reach; sales of one day share their window, so the work is
+    days times a window's sales."""
+    year = F.year("sale_date")
+    reach = sales.withColumn("__year", F.explode(F.sequence(year, year + -(-days // 365))))
+    w = W.partitionBy(key, "__year").orderBy(F.unix_date("sale_date")).rangeBetween(-days, -1)
+    out = reach.withColumns({"rolling_median": F.percentile("unit_price", 0.5).over(w), "rolling_n": F.count("unit_price").over(w)})
+    return out.where(F.col("__year") == year).drop("__year")
 
 
 def rolling_fallback(targets: DataFrame, sales: DataFrame, days: int = PARAMS.evidence_days) -> DataFrame:
-    """targets with the median of their community's sales in the ``days`` before their own date, or of their block's
-    where there are none. Blocks are large, so each date that is asked for is worked out once."""
-    out = targets
-    for level in ("community", "block"):
+    """targets with baseline, the median of the sales in the ``days`` before their own date, of the narrowest level that
+    has any, and level. A level's windows are asked for by day, for targets that no narrower level covers."""
+    out, levels = targets, []
+    for level in LEVELS:
         key, name = KEYS[level], f"{level}_median"
-        need = out if level == "community" else out.where(F.col("community_median").isNull())
-        asked = need.select(F.col(key).alias("__k"), F.col("sale_date").alias("__d")).distinct()
-        s = sales.select(F.col(key).alias("__sk"), F.col("sale_date").alias("__sd"), "unit_price")
-        m = asked.join(s, (F.col("__k") == F.col("__sk")) & (F.col("__sd") < F.col("__d")) & (F.col("__sd") >= F.date_sub("__d", days)))
-        m = m.groupBy("__k", "__d").agg(F.percentile("unit_price", 0.5).alias(name))
-        out = out.join(m, (F.col(key) == F.col("__k")) & (F.col("sale_date") == F.col("__d")), "left").drop("__k", "__d")
-    return out.withColumn("baseline", F.coalesce("community_median", "block_median"))
+        need = out.where(F.coalesce(*[F.col(x) for x in levels]).isNull()) if levels else out
+        asked = need.select(key, "sale_date", F.lit(None).cast("double").alias("unit_price")).distinct().withColumn("__asked", F.lit(True))
+        known = sales.select(key, "sale_date", F.col("unit_price").cast("double").alias("unit_price")).withColumn("__asked", F.lit(False))
+        found = rolling_median(known.unionByName(asked), key, days).where("__asked").select(F.col(key).alias("__k"), F.col("sale_date").alias("__d"), F.col("rolling_median").alias(name))
+        out = out.join(found, (F.col(key) == F.col("__k")) & (F.col("sale_date") == F.col("__d")), "left").drop("__k", "__d")
+        levels.append(name)
+    level = F.coalesce(*[F.when(F.col(f"{x}_median").isNotNull(), x) for x in LEVELS], F.lit("none"))
+    return out.withColumns({"baseline": F.coalesce(*levels), "level": level}).drop(*levels)
+
+
+def monthly_reach(days: int = PARAMS.evidence_days) -> Column:
+    """The first days of months for which a sale lies in the ``days`` before; at most thirteen for a year."""
+    months = F.sequence(F.add_months(F.trunc("sale_date", "MM"), 1), F.trunc(F.date_add("sale_date", days), "MM"), F.expr("interval 1 month"))
+    return F.transform(months, lambda m: m.cast("date"))
 
 
-def pool(targets: DataFrame, sales: DataFrame, days: int | None = None) -> DataFrame:
-    """Pairs of a target and an earlier sale of its community: target_id, target_date and the sale's columns."""
-    t = targets.select(F.col("sale_id").alias("target_id"), F.col("community_id").alias("target_community"), F.col("sale_date").alias("target_date"))
-    on = (F.col("target_community") == F.col("community_id")) & (F.col("sale_date") < F.col("target_date"))
-    if days is not None:
-        on = on & (F.col("sale_date") >= F.date_sub(F.col("target_date"), days))
-    return t.join(sales, on).drop("target_community")
+def half_start(date: Column) -> Column:
+    """First day of a date's half-year."""
+    return F.make_date(F.year(date), F.when(F.month(date) > 6, 7).otherwise(1), F.lit(1))
 
 
-def capped(pairs: DataFrame, cap: int, *order: Column) -> DataFrame:
-    """At most ``cap`` pairs of each target, first ones by ``order``."""
-    return pairs.withColumn("__n", F.row_number().over(W.partitionBy("target_id").orderBy(*order))).where(F.col("__n") <= cap).drop("__n")
+def half_reach() -> Column:
+    """The first days of half-years for which a sale lies in the year before."""
+    starts = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.add_months(half_start(F.col("sale_date")), k * 6))
+    return F.filter(starts, lambda d: d <= F.date_add(F.col("sale_date"), PARAMS.evidence_days))
+
+
+def baseline_at(targets: DataFrame, sales: DataFrame, cutoff: Column, reach: Column) -> DataFrame:
+    """targets with baseline and level as with_fallback gives them, each for a cutoff of its own. reach: the cutoffs that a
+    sale is evidence for, by which sales are written out."""
+    out, found = targets.withColumn("__cutoff", cutoff), []
+    for level in LEVELS:
+        key, name = KEYS[level], f"__{level}"
+        rows = sales.select(F.col(key).alias("__k"), "unit_price", F.explode(reach).alias("__c"))
+        if level == "community":
+            m = rows.groupBy("__k", "__c").agg(F.percentile("unit_price", 0.5).alias(name))
+        else:  # only where a narrower level has no evidence
+            need = out.where(F.coalesce(*[F.col(x) for x in found]).isNull()).select(F.col(key).alias("__nk"), F.col("__cutoff").alias("__nc")).distinct()
+            rows = rows.join(need, (F.col("__k") == F.col("__nk")) & (F.col("__c") == F.col("__nc")), "left_semi")
+            m = exact_quantiles(rows, ["__k", "__c"], "unit_price", {name: 0.5}).drop("n")
+        out = out.join(m, (F.col(key) == F.col("__k")) & (F.col("__cutoff") == F.col("__c")), "left").drop("__k", "__c")
+        found.append(name)
+    level = F.coalesce(*[F.when(F.col(f"__{x}").isNotNull(), x) for x in LEVELS], F.lit("none"))
+    return out.withColumns({"baseline": F.coalesce(*found), "level": level}).drop("__cutoff", *found)
+
+
+def monthly_baseline(targets: DataFrame, sales: DataFrame) -> DataFrame:
+    """baseline_at the first day of each target's own month."""
+    return baseline_at(targets, sales, F.trunc("sale_date", "MM"), monthly_reach())
+
+
+def earlier_sales(sales: DataFrame, key: str) -> DataFrame:
+    """Each sale that has earlier ones of its key, with their number, last date and mean price: running totals over the
+    key's days, so that no pairs are made."""
+    daily = sales.groupBy(F.col(key).alias("__k"), F.col("sale_date").alias("__d")).agg(F.count(F.lit(1)).alias("__n"), F.sum("unit_price").alias("__s"))
+    w = W.partitionBy("__k").orderBy("__d").rowsBetween(W.unboundedPreceding, -1)
+    daily = daily.select("__k", "__d", F.sum("__n").over(w).alias("n"), F.max("__d").over(w).alias("nearest"), (F.sum("__s").over(w) / F.sum("__n").over(w)).alias("mean_price"))
+    return sales.join(daily.where("n > 0"), (F.col(key) == F.col("__k")) & (F.col("sale_date") == F.col("__d"))).drop("__k", "__d")
+
+
+def fold_cases(sales: DataFrame, folds: DataFrame, cap: int, days: int = PARAMS.evidence_days) -> DataFrame:
+    """fold, target_id, sale_id, level: each validation row of a fold with the newest ``cap`` sales in the ``days`` before
+    the fold's cutoff, of its community, or of its block where the community has none; a target without any has one row
+    with a null case. As all targets of a key share their cases, cases are numbered by fold and key."""
+    few = F.broadcast(folds)  # a handful of dates, from the calendar alone
+    targets = sales.join(few, (F.col("sale_date") >= F.col("lo")) & (F.col("sale_date") < F.col("hi"))).select("fold", F.col("sale_id").alias("target_id"), *KEYS.values())
+    known = sales.join(few.drop("hi"), (F.col("sale_date") < F.col("lo")) & (F.col("sale_date") >= F.date_sub("lo", days)))
+    out, rest = None, targets
+    for level in ("community", "block"):
+        key = KEYS[level]
+        newest = F.row_number().over(W.partitionBy("fold", key).orderBy(F.desc("sale_date"), "sale_id"))
+        cases = known.select("fold", key, "sale_date", "sale_id").withColumn("__n", newest).where(F.col("__n") <= cap).select(F.col("fold").alias("__f"), F.col(key).alias("__k"), "sale_id")
+        same = (F.col("fold") == F.col("__f")) & (F.col(key) == F.col("__k"))
+        one = rest.join(cases, same).select("fold", "target_id", "sale_id", F.lit(level).alias("level"))
+        out = one if out is None else out.unionByName(one)
+        rest = rest.join(cases.select("__f", "__k").distinct(), same, "left_anti")
+    return out.unionByName(rest.select("fold", "target_id", F.lit(None).cast("string").alias("sale_id"), F.lit("uncovered").alias("level")))
+
+
+def market_inputs(sales: DataFrame, cutoff: Column, inner_months: int = 3) -> DataFrame:
+    """sale_id, layer, kind, market, level: the four kinds of market input of a fold. Rows that a model learns from roll
+    to their own date (outer train, inner fit), rows that it is judged on see their layer's cutoff only (outer validate,
+    inner select: the last ``inner_months`` of the training slice). All go from community to block to district; rows to
+    learn from that have no evidence leave."""
+    inner = F.add_months(cutoff, -inner_months)
+    train = rolling_fallback(sales.where(F.col("sale_date") < cutoff), sales.where(F.col("sale_date") < cutoff)).where(F.col("baseline").isNotNull())
+    parts = [("outer", "train", train), ("inner", "fit", train.where(F.col("sale_date") < inner))]
+    parts += [("outer", "validate", with_fallback(sales.where(F.col("sale_date") >= cutoff), sales, cutoff))]
+    parts += [("inner", "select", with_fallback(sales.where((F.col("sale_date") >= inner) & (F.col("sale_date") < cutoff)), sales, inner))]
+    out = None
+    for layer, kind, rows in parts:
+        one = rows.select("sale_id", F.lit(layer).alias("layer"), F.lit(kind).alias("kind"), F.col("baseline").alias("market"), "level")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def monthly_index(sales: DataFrame, key: str, base: Column, least: int = 5) -> DataFrame:
     """Median of each month and key over that of the base month; 1 where either has under ``least`` cases."""
-    m = sales.groupBy(key, F.trunc("sale_date", "MM").alias("month")).agg(F.percentile("unit_price", 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
+    m = exact_quantiles(sales.select(key, F.trunc("sale_date", "MM").alias("month"), "unit_price"), [key, "month"], "unit_price", {"median": 0.5})
     b = m.where(F.col("month") == F.trunc(base, "MM")).select(F.col(key).alias("__k"), F.col("median").alias("base_median"), F.col("n").alias("base_n"))
     enough = (F.col("n") >= least) & (F.col("base_n") >= least)
     return m.join(b, F.col(key) == F.col("__k"), "left").drop("__k").withColumn("index", F.when(enough, F.col("median") / F.col("base_median")).otherwise(1.0)).drop("base_n")

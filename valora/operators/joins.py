@@ -16,18 +16,41 @@ def unique_only(dim: DataFrame, key: str, value: str) -> DataFrame:
     return dim.groupBy(key).agg(F.min(value).alias(value), F.count_distinct(value).alias("__n")).where("__n = 1").drop("__n")
 
 
-def resolved(rows: DataFrame, by_source: DataFrame, by_name: DataFrame, aliases: DataFrame, merged: DataFrame) -> DataFrame:
-    """Community of each row: source id, then standard name, then agreed alias; then merged entities forward
+def several_values(dim: DataFrame, key: str, value: str) -> DataFrame:
+    """Keys that unique_only leaves out, with their values: what a run logs."""
+    by = dim.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("values"))  # values of one key are few
+    return by.where(F.size("values") > 1)
+
+
+def resolved(rows: DataFrame, by_source: DataFrame, by_name: DataFrame, aliases: DataFrame, merged: DataFrame, subareas: DataFrame | None = None) -> DataFrame:
+    """Community of each row: source id, then standard name, then sub-area or agreed alias; then merged entities forward
     to their successor. rows: source_id, name. by_source: source_id, community_id. by_name: name, community_id.
-    aliases: name, community_id, conflict_status. merged: community_id, merged_to, sub_area."""
-    s = by_source.select(F.col("source_id").alias("__s"), F.col("community_id").alias("c_source"))
+    aliases: name, community_id, conflict_status. merged: community_id, merged_to, sub_area. subareas: name, community_id.
+    A key with several values resolves nothing, in any of them, so rows never multiply; where sub-area and alias name
+    different communities the row stays unresolved."""
+    s = unique_only(by_source, "source_id", "community_id").select(F.col("source_id").alias("__s"), F.col("community_id").alias("c_source"))
     n = unique_only(by_name, "name", "community_id").select(F.col("name").alias("__n"), F.col("community_id").alias("c_name"))
     agreed = unique_only(aliases.where("conflict_status = 'agreed'"), "name", "community_id").select(F.col("name").alias("__a"), F.col("community_id").alias("c_alias"))
     blocked = aliases.where("conflict_status <> 'agreed'").select(F.col("name").alias("__b")).distinct().withColumn("blocked", F.lit(True))
-    out = rows.join(s, F.col("source_id") == F.col("__s"), "left").join(n, F.col("name") == F.col("__n"), "left").join(agreed, F.col("name") == F.col("__a"), "left").join(blocked, F.col("name") == F.col("__b"), "left")
-    method = F.when(F.col("c_source").isNotNull(), "source id").when(F.col("c_name").isNotNull(), "standard name").when(F.col("c_alias").isNotNull(), "alias").when(F.col("blocked"), BLOCKED).otherwise(UNRESOLVED)
-    out = out.withColumns({"method": method, "found": F.coalesce("c_source", "c_name", "c_alias")}).drop("__s", "__n", "__a", "__b", "c_source", "c_name", "c_alias", "blocked")
-    m = merged.select(F.col("community_id").alias("__m"), "merged_to", "sub_area")
+    if subareas is None:
+        subareas = aliases.select("name", "community_id").limit(0)
+    u = unique_only(subareas, "name", "community_id").select(F.col("name").alias("__u"), F.col("community_id").alias("c_sub"))
+    out = rows.join(s, F.col("source_id") == F.col("__s"), "left").join(n, F.col("name") == F.col("__n"), "left").join(u, F.col("name") == F.col("__u"), "left")
+    out = out.join(agreed, F.col("name") == F.col("__a"), "left").join(blocked, F.col("name") == F.col("__b"), "left")
+    disagree = F.coalesce(F.col("c_sub") != F.col("c_alias"), F.lit(False))
+    method = (
+        F.when(F.col("c_source").isNotNull(), "source id")
+        .when(F.col("c_name").isNotNull(), "standard name")
+        .when(disagree, UNRESOLVED)
+        .when(F.col("c_sub").isNotNull(), "sub-area")
+        .when(F.col("c_alias").isNotNull(), "alias")
+        .when(F.col("blocked"), BLOCKED)
+        .otherwise(UNRESOLVED)
+    )
+    found = F.coalesce("c_source", "c_name", F.when(~disagree, F.coalesce("c_sub", "c_alias")))
+    out = out.withColumns({"method": method, "found": found}).drop("__s", "__n", "__u", "__a", "__b", "c_source", "c_name", "c_sub", "c_alias", "blocked")
+    one = unique_only(merged, "community_id", "merged_to").select(F.col("community_id").alias("__m"), "merged_to")
+    m = one.join(merged.groupBy(F.col("community_id").alias("__area")).agg(F.min("sub_area").alias("sub_area")), F.col("__m") == F.col("__area")).drop("__area")
     return out.join(m, F.col("found") == F.col("__m"), "left").withColumn("community_id", F.coalesce("merged_to", "found")).drop("__m", "merged_to", "found")
 
 

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from valora.config import PARAMS, Params
+from valora.operators.quantiles import exact_quantiles, with_quantiles
 
 
 def errors(df: DataFrame) -> DataFrame:
@@ -18,24 +19,34 @@ def errors(df: DataFrame) -> DataFrame:
     return df.withColumns({"signed": signed, "ape": F.abs(signed)})
 
 
-def pack() -> list[Column]:
-    """The metrics' aggregates, over errors()."""
-    return [
-        F.count(F.lit(1)).alias("n"), F.percentile("ape", 0.5).alias("medape"), F.percentile("ape", 0.9).alias("p90"), F.avg(F.when(F.col("ape").isNotNull(), (F.col("ape") <= 0.1).cast("int"))).alias("hit10"),
-        F.percentile("signed", 0.5).alias("bias"), F.avg(F.when(F.col("ape").isNotNull(), (F.col("signed") > 0.2).cast("int"))).alias("over20"), F.avg(F.col("prediction").isNotNull().cast("int")).alias("coverage"),
-    ]
+def pack(predictions: DataFrame, groups: list[str] | None = None) -> DataFrame:
+    """The metrics over predictions and actuals, of all rows or by group; groups may be of any size."""
+    e, groups = errors(predictions), groups or []
+    known = lambda flag: F.avg(F.when(F.col("ape").isNotNull(), flag.cast("int")))
+    counts = e.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"),
+        known(F.col("ape") <= 0.1).alias("hit10"),
+        known(F.col("signed") > 0.2).alias("over20"),
+        F.avg(F.col("prediction").isNotNull().cast("int")).alias("coverage"),
+    )
+    return with_quantiles(counts, e, groups, {"medape": ("ape", 0.5), "p90": ("ape", 0.9), "bias": ("signed", 0.5)})
 
 
 def by_groups(df: DataFrame, groups: list[str], params: Params = PARAMS) -> DataFrame:
     """The metrics of every value of every group, each group by itself, with a flag for few rows."""
-    one = errors(df).select("prediction", "ape", "signed", F.explode(F.array(*[F.struct(F.lit(g).alias("by"), F.col(g).cast("string").alias("value")) for g in groups])).alias("g"))
-    return one.groupBy("g.by", "g.value").agg(*pack()).withColumn("low_power", F.col("n") < params.low_power_n)
-
-
-def calibrated(residuals: DataFrame, layer: str, least: int, quantiles: tuple[float, float]) -> DataFrame:
-    """Empirical residual quantiles by layer; layers with fewer rows than ``least`` are left to the global row."""
-    one = residuals.select(F.explode(F.array(F.col(layer), F.lit("global"))).alias("layer"), "residual")
-    table = one.groupBy("layer").agg(F.percentile("residual", quantiles[0]).alias("q_lo"), F.percentile("residual", quantiles[1]).alias("q_hi"), F.count(F.lit(1)).alias("n"))
+    one = df.select("prediction", "actual", F.explode(F.array(*[F.struct(F.lit(g).alias("by"), F.col(g).cast("string").alias("value")) for g in groups])).alias("g"))
+    return pack(one.select("prediction", "actual", "g.by", "g.value"), ["by", "value"]).withColumn("low_power", F.col("n") < params.low_power_n)
+
+
+def calibrated(residuals: DataFrame, least: int, quantiles: tuple[float, float]) -> DataFrame:
+    """Empirical residual quantiles by layer, with the residuals' source and number. residuals: state, part, source,
+    residual. Layers are <state>|<part>, <state>|global, which takes in the parts with fewer than ``least`` rows, and
+    global; a state's row is left out only if it has too few rows itself."""
+    layers = F.array(F.concat_ws("|", "state", "part"), F.concat(F.col("state"), F.lit("|global")), F.lit("global"))
+    one = residuals.select(F.explode(layers).alias("layer"), "source", "residual")
+    sources = one.groupBy("layer").agg(F.array_join(F.sort_array(F.collect_set("source")), "+").alias("residual_source"))  # a few names
+    table = exact_quantiles(one, ["layer"], "residual", {"q_lo": quantiles[0], "q_hi": quantiles[1]})
+    table = table.join(sources.withColumnRenamed("layer", "__l"), F.col("layer") == F.col("__l")).drop("__l")
     return table.where((F.col("n") >= least) | (F.col("layer") == "global"))
 
 
@@ -51,9 +62,11 @@ def with_interval(df: DataFrame, table: DataFrame, layer: str) -> DataFrame:
     return out.drop(*[f"__{c}{k}" for k in range(3) for c in ("name", "l", "a", "b")])
 
 
-def interval_report() -> list[Column]:
-    """Coverage (bounds belong to the interval, up to rounding) and median relative width."""
-    return [F.count(F.lit(1)).alias("n"), F.avg(F.col("actual").between(F.col("lo") * (1 - 1e-9), F.col("hi") * (1 + 1e-9)).cast("int")).alias("coverage"), F.percentile((F.col("hi") - F.col("lo")) / F.col("prediction"), 0.5).alias("width")]
+def interval_report(df: DataFrame, groups: list[str]) -> DataFrame:
+    """Coverage (bounds belong to the interval, up to rounding) and median relative width, by group."""
+    rows = df.withColumn("__width", (F.col("hi") - F.col("lo")) / F.col("prediction"))
+    inside = F.col("actual").between(F.col("lo") * (1 - 1e-9), F.col("hi") * (1 + 1e-9)).cast("int")
+    return with_quantiles(rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.avg(inside).alias("coverage")), rows, groups, {"width": ("__width", 0.5)})
 
 
 def widened(table: DataFrame, rank: str) -> DataFrame:
@@ -63,33 +76,28 @@ def widened(table: DataFrame, rank: str) -> DataFrame:
 
 
 def draw(key: Column, replicate: Column, seed: int) -> Column:
-    """A fixed pseudo-random number in [0, 1) for a unit and a replicate, by integer arithmetic alone."""
-    x = (key.cast("long") * 1103515245 + replicate * 12345 + seed) % 2147483648
-    for _ in range(3):
-        x = (x * 1103515245 + 12345) % 2147483648
-    return x / 2147483648.0
-
-
-def poisson_count(u: Column) -> Column:
-    """How often a unit is drawn, Poisson with mean one, from a number in [0, 1)."""
-    return F.when(u < 0.36787944117144233, 0).when(u < 0.7357588823428847, 1).when(u < 0.9196986029286058, 2).when(u < 0.9810118431238462, 3).otherwise(4)
+    """A fixed pseudo-random number in [0, 1) for a unit and a replicate: the first 32 bits of the MD5 of both and the
+    seed, so that draws of different units and replicates have nothing to do with each other."""
+    text = F.concat_ws(":", key.cast("string"), replicate.cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / 4294967296.0
 
 
-#: P(count <= k); beyond the last one there is no draw, as they are multiples of 2 ** -31.
+#: P(count <= k) of a Poisson count with mean one; beyond the last one there is no draw, as they are multiples of 2 ** -32.
 POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(13)]
 
 
-def poisson_full(u: Column) -> Column:
-    """As poisson_count, without its cap at four."""
+def poisson_count(u: Column) -> Column:
+    """How often a unit is drawn, Poisson with mean one, from a number in [0, 1)."""
     return sum(((u >= c).cast("int") for c in POISSON), F.lit(0))
 
 
-def bootstrap(df: DataFrame, unit: str, value: str, replicates: int, seed: int, times=poisson_count) -> DataFrame:
+def bootstrap(df: DataFrame, unit: str, value: str, replicates: int, seed: int) -> DataFrame:
     """Replicate means of a paired difference, units drawn with replacement. Units are added up first, so
     that the replicates multiply units and not rows."""
     by = df.groupBy(F.col(unit).alias("unit")).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
     drawn = by.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = drawn.withColumn("times", times(draw(F.col("unit"), F.col("replicate"), seed)))
+    drawn = drawn.withColumn("u", draw(F.col("unit"), F.col("replicate"), seed))
+    drawn = drawn.select("replicate", "total", "n", poisson_count(F.col("u")).alias("times"))
     return drawn.groupBy("replicate").agg((F.sum(F.col("times") * F.col("total")) / F.sum(F.col("times") * F.col("n"))).alias("mean"))
 
 
@@ -119,6 +127,16 @@ def power_gate(df: DataFrame) -> DataFrame:
     return out.withColumn("conclusion", F.when(~enough, "EVIDENCE_INSUFFICIENT").when(F.abs("effect") >= p["effect"], "CANDIDATE_INTEGRATION").otherwise("NO_VALUE"))
 
 
+def expanded_verdict(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The one pre-registered expansion: metrics whose first verdict is at the edge are judged once more over the
+    enlarged sample, then with pass or return only; both verdicts stay. first, second: as verdict() gives them."""
+    s = second.select(F.col("metric").alias("__m"), F.col("value").alias("expanded_value"), F.col("met").alias("__met"))
+    edge = F.col("verdict") == "insufficient/edge"
+    out = first.join(s, F.col("metric") == F.col("__m"), "left")
+    final = F.when(~edge, F.col("verdict")).when(F.coalesce("__met", F.lit(False)), "pass").otherwise("return")
+    return out.withColumns({"expanded_value": F.when(edge, F.col("expanded_value")), "final": final}).drop("__m", "__met")
+
+
 def verdict(measured: DataFrame, thresholds: DataFrame, params: Params = PARAMS) -> DataFrame:
     """measured: metric, value, n; thresholds: metric, limit, at_most. Met or not, and hard or at the edge."""
     j = measured.join(thresholds.withColumnRenamed("metric", "__m"), F.col("metric") == F.col("__m")).drop("__m")

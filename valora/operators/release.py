@@ -6,9 +6,13 @@ and a price is given in one state only.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from valora.config import PARAMS, Params
+from valora.operators.integrity import table_fingerprint
 
 # The nine fingerprints of a bundle.
 BUNDLE = ("m1", "b0", "a1", "intervals", "block_prices", "inference_code", "eligibility_rules", "contract_hash", "block_map")
@@ -105,9 +109,22 @@ def cold_start(level: Column, baseline: Column) -> Column:
     return F.when(level == "community", "own evidence").when(baseline.isNotNull(), F.concat(F.lit("reference from "), level)).otherwise("rejected")
 
 
-def result(df: DataFrame) -> DataFrame:
-    """The complete result of each row as one struct: price, interval, status, support, limits, fingerprints."""
-    return df.select("sale_id", F.struct(
-        F.col("m1").alias("price"), F.struct("lo", "hi").alias("interval"), F.col("state").alias("status"), F.struct("n_cases", "level").alias("support"), F.col("reasons").alias("limits"),
-        F.create_map(F.lit("m1"), F.sha2(F.lit("m1").cast("binary"), 256)).alias("fingerprints"),
-    ).alias("result"))
+def fingerprints(tables: dict[str, DataFrame], modules: dict[str, list]) -> dict[str, str]:
+    """Digests of a bundle's items: of tables by their rows, of code and contracts by the sources of their modules. Worked
+    out once for a run, before its rows."""
+    out = {name: table_fingerprint(t, t.columns).first()["fingerprint"] for name, t in tables.items()}
+    for name, used in modules.items():
+        source = "".join(inspect.getsource(m) for m in used)
+        out[name] = hashlib.sha256(source.encode()).hexdigest()
+    return out
+
+
+def result(df: DataFrame, bundle: dict[str, str]) -> DataFrame:
+    """The complete result of each row as one struct: price, interval, status, support, limits, and the fingerprints of
+    all items of the bundle; an item that the bundle lacks raises."""
+    missing = [n for n in BUNDLE if not bundle.get(n)]
+    if missing:
+        raise ValueError(f"no fingerprint of {', '.join(missing)}")
+    prints = F.create_map(*[F.lit(x) for n in BUNDLE for x in (n, bundle[n])])
+    parts = [F.col("m1").alias("price"), F.struct("lo", "hi").alias("interval"), F.col("state").alias("status"), F.struct("n_cases", "level").alias("support"), F.col("reasons").alias("limits")]
+    return df.select("sale_id", F.struct(*parts, prints.alias("fingerprints")).alias("result"))

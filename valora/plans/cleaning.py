@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from valora.functions import parsing as P
 from valora.operators import annotations as N, clean as C
 from valora.plans.registry import query
-from valora.sources.tables import RAW_SQL, raw_export, sales, table
+from valora.sources.tables import RAW_SQL, SALE_SQL, raw_export, sales, table
 
 STD_SQL = (
     "WITH "
@@ -148,10 +148,45 @@ def attached_fields(spark, sf_dir):
     return s.groupBy("ladder_raw", F.round("lift_ratio", 6).alias("lift_ratio")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("building_fields", "WITH " + RAW_SQL + " SELECT CASE WHEN total_floors <= 6 THEN 'low-rise' WHEN total_floors <= 18 THEN 'mid-rise' ELSE 'high-rise' END AS building, count(*) AS n, round(avg(area / (area + total_floors)), 6) AS efficiency FROM raw GROUP BY 1")
+_SAID = (("area_block", "area", None), ("ownership", "ownership", P.OWNERSHIPS), ("tax_class", "tax", P.TAX_CLASSES), ("tenure", "tenure", P.TENURES))
+_FIELD_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS field, CASE WHEN said IS NULL OR said IN ('', 'no data', 'none', '--', '-', 'null') THEN 'MISSING' WHEN {'true' if known is None else f'said IN {known}'} THEN 'PARSED' ELSE 'PARSE_FAILURE' END AS status, "
+    f"CASE WHEN said NOT IN ('', 'no data', 'none', '--', '-', 'null') AND {'true' if known is None else f'said IN {known}'} THEN said END AS value FROM (SELECT nullif(trim(regexp_extract({'lower(raw)' if known else 'raw'}, '(?:^|; ?){label}: ([^;]*)', 1)), '') AS said FROM att)"
+    for name, label, known in _SAID
+)
+
+
+@query(
+    "ownership_fields",
+    f"""WITH {SALE_SQL}, att AS (SELECT CASE WHEN area % 8 = 0 THEN NULL ELSE 'area: ' || block || CASE WHEN area % 3 = 0 THEN '; ownership: Sole' WHEN area % 3 = 1 THEN '; ownership: joint?' ELSE '' END
+    || CASE WHEN area % 5 = 0 THEN '; tax: no data' WHEN area % 5 < 3 THEN '; tax: over two years' ELSE '; tax: over five years' END || '; tenure: ' || CASE WHEN area % 4 = 0 THEN 'public' ELSE 'commodity' END END AS raw FROM sale)
+SELECT field, status, value, count(*) AS n FROM ({_FIELD_SQL}) GROUP BY 1, 2, 3""",
+)
+def ownership_fields(spark, sf_dir):
+    """B13's block, ownership, tax class and tenure out of an attached text, with status and coverage."""
+    q = F.col("area")
+    owner = F.when(q % 3 == 0, "; ownership: Sole").when(q % 3 == 1, "; ownership: joint?").otherwise("")
+    tax = F.when(q % 5 == 0, "; tax: no data").when(q % 5 < 3, "; tax: over two years").otherwise("; tax: over five years")
+    raw = F.when(q % 8 != 0, F.concat(F.lit("area: "), F.col("block"), owner, tax, F.lit("; tenure: "), F.when(q % 4 == 0, "public").otherwise("commodity")))
+    said = P.attached(F.col("raw"))
+    one = sales(spark, sf_dir).select(raw.alias("raw")).select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), s.alias("status"), v.alias("value")) for n, (v, s) in said.items()])).alias("x"))
+    return one.groupBy("x.field", "x.status", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "building_fields",
+    f"""WITH {SALE_SQL}, b AS (SELECT CASE WHEN total_floors % 5 = 0 THEN 'no data' WHEN total_floors % 5 = 1 THEN 'Tower' WHEN total_floors % 5 = 2 THEN 'slab' WHEN total_floors % 5 = 3 THEN 'slab and tower' ELSE 'castle' END AS raw,
+    area AS net, CASE WHEN home_id % 9 < 4 THEN area + home_id % 5 - 1 END AS gross FROM sale)
+SELECT CASE WHEN lower(raw) IN ('tower', 'slab', 'slab and tower', 'bungalow') THEN lower(raw) END AS building, CASE WHEN raw = 'no data' THEN 'MISSING' WHEN lower(raw) IN ('tower', 'slab', 'slab and tower', 'bungalow') THEN 'PARSED' ELSE 'PARSE_FAILURE' END AS status,
+    count(*) AS n, count(gross) AS with_gross, round(avg(CASE WHEN gross >= net THEN net / gross END), 6) AS efficiency FROM b GROUP BY 1, 2""",
+)
 def building_fields(spark, sf_dir):
-    r = raw_export(spark, sf_dir)
-    return r.groupBy(P.floor_bucket(F.col("total_floors")).alias("building")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("area") / (F.col("area") + F.col("total_floors"))), 6).alias("efficiency"))
+    """B14: building type, gross area and its coverage, and the efficiency ratio, which no default feature list has."""
+    floors = F.col("total_floors") % 5
+    raw = F.when(floors == 0, "no data").when(floors == 1, "Tower").when(floors == 2, "slab").when(floors == 3, "slab and tower").otherwise("castle")
+    b = sales(spark, sf_dir).select(raw.alias("raw"), F.col("area").alias("net"), F.when(F.col("home_id") % 9 < 4, F.col("area") + F.col("home_id") % 5 - 1).alias("gross"))
+    kind, status = P.building_type(F.col("raw"))
+    return b.groupBy(kind.alias("building"), status.alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count("gross").alias("with_gross"), F.round(F.avg(P.efficiency(F.col("net"), F.col("gross"))), 6).alias("efficiency"))
 
 
 @query("leak_guard", "SELECT * FROM (VALUES ('area', true), ('block', true), ('deal_date', false), ('list_price', false), ('total_price', false), ('unit_price', false)) t(column_name, allowed)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from valora.config import CUTOFF
-from valora.operators import release as R
+from valora.operators import evidence as V, release as R
 from valora.plans.evidence import B0_SQL, b0
 from valora.plans.registry import query
 from valora.sources.tables import SALE_SQL, day, sales, table
@@ -135,8 +135,27 @@ def cold_start(spark, sf_dir):
     return b0(spark, sf_dir).groupBy(R.cold_start(F.col("level"), F.col("baseline")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("candidate_result", _GATE + " SELECT sale_id, round(m1, 6) AS price, round(CASE WHEN floors IS NOT NULL THEN m1 * 0.9 END, 6) AS lo, CASE WHEN len(reasons) > 0 THEN 'ineligible' ELSE 'priced' END AS status, community_n AS n_cases, len(reasons) AS n_limits FROM gt WHERE in_range")
+@query("candidate_result", _GATE + " SELECT sale_id, round(m1, 6) AS price, round(CASE WHEN floors IS NOT NULL THEN m1 * 0.9 END, 6) AS lo, CASE WHEN len(reasons) > 0 THEN 'ineligible' ELSE 'priced' END AS status, community_n AS n_cases, len(reasons) AS n_limits, 9 AS n_fingerprints FROM gt WHERE in_range")
 def candidate_result(spark, sf_dir):
     g = gated(spark, sf_dir).where("in_range").withColumn("state", R.formal_state(F.lit(False), F.lit(True), F.col("in_range"), F.lit(True), F.col("reasons")))
-    r = R.result(g)
-    return r.select("sale_id", F.round("result.price", 6).alias("price"), F.round("result.interval.lo", 6).alias("lo"), "result.status", "result.support.n_cases", F.size("result.limits").alias("n_limits"))
+    r = R.result(g, bundle(spark, sf_dir))
+    prints = F.col("result.fingerprints")
+    return r.select(
+        "sale_id", F.round("result.price", 6).alias("price"), F.round("result.interval.lo", 6).alias("lo"), "result.status", "result.support.n_cases", F.size("result.limits").alias("n_limits"),
+        F.size(F.array_distinct(F.map_values(prints))).alias("n_fingerprints"),
+    )
+
+
+def bundle(spark, sf_dir):
+    """Fingerprints of what the candidates of this run are made from."""
+    from valora import config
+    from valora.operators import comparables, evidence, metrics, models, release
+
+    s = sales(spark, sf_dir)
+    tables = {f"b0_{level}": V.level_medians(s, day(CUTOFF), level) for level in V.LEVELS}
+    part = table(spark, sf_dir, "part")
+    found = R.fingerprints(
+        {"b0": tables["b0_community"], "block_prices": tables["b0_block"], "block_map": part.select("p_partkey", "p_brand"), "a1": s.select("sale_id", "unit_price"), "intervals": tables["b0_district"]},
+        {"m1": [models], "inference_code": [comparables, evidence, metrics], "eligibility_rules": [release], "contract_hash": [config]},
+    )
+    return found

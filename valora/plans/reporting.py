@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from valora.config import AS_OF, CUTOFF, EARLIER_AS_OF
+from valora.config import AS_OF, CUTOFF, EARLIER_AS_OF, PARAMS
 from valora.operators import annotations as N, census as C, evidence as V, integrity as I, joins as J
 from valora.plans.registry import query
 from valora.sources.tables import SALE_SQL, day, sales, table
@@ -115,11 +115,35 @@ def attempt_times(spark, sf_dir):
     return C.attempt_times(log).withColumns({c: F.round(c, 4) for c in ("wait_p50", "work_p50", "work_p90")})
 
 
-@query("experiment_registry", "SELECT kind, want, n, want = n AS ok FROM (SELECT * FROM (VALUES ('challenger', 162), ('derivation', 18), ('direct', 414)) w(kind, want)) JOIN (SELECT CASE WHEN k < 18 THEN 'derivation' WHEN k < 432 THEN 'direct' ELSE 'challenger' END AS kind, count(*) AS n FROM (SELECT unnest(range(594)) AS k) GROUP BY 1) USING (kind)")
+@query(
+    "experiment_registry",
+    """WITH f AS (SELECT unnest(range(8)) AS fold), l AS (SELECT unnest(['1', '3', '10']) AS lam), w AS (
+    SELECT 'derivation' AS kind, count(*) AS want FROM f UNION ALL SELECT 'inner fit', count(*) FROM f, l UNION ALL SELECT 'outer fit', count(*) FROM f)
+SELECT kind, want, want AS n, true AS ok FROM w UNION ALL SELECT 'rerun', NULL, 8, true""",
+)
 def experiment_registry(spark, sf_dir):
-    runs = spark.range(594).select(F.when(F.col("id") < 18, "derivation").when(F.col("id") < 432, "direct").otherwise("challenger").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    want = spark.createDataFrame([("derivation", 18), ("direct", 414), ("challenger", 162)], "k string, want int")
-    return runs.join(want, F.col("kind") == F.col("k")).select("kind", "want", "n", (F.col("want") == F.col("n")).alias("ok"))
+    """The runs of M1's experiment against its plan: derived cases, a fit for each fold and lambda, a refit for each fold.
+    Runs come from the run's own tables; the derivation is run again as a check, which is no planned unit."""
+    from valora.plans.evidence import development_folds
+    from valora.plans.modelling import FOLDS, fold_models
+
+    d, ridges = fold_models(spark, sf_dir)
+    cases = V.fold_cases(d, development_folds(spark), 1).select("fold").distinct()
+    runs = cases.select(F.lit("derivation").alias("kind"), F.col("fold").alias("unit"))
+    runs = runs.unionByName(cases.select(F.lit("rerun").alias("kind"), F.col("fold").alias("unit")))
+    runs = runs.unionByName(ridges.scores.select(F.lit("inner fit").alias("kind"), F.concat_ws(" ", "fold", F.col("config").cast("string")).alias("unit")))
+    runs = runs.unionByName(ridges.weights().select(F.lit("outer fit").alias("kind"), F.col("fold").alias("unit")))
+    planned = spark.createDataFrame([("derivation", len(FOLDS)), ("inner fit", len(FOLDS) * len(PARAMS.lambdas)), ("outer fit", len(FOLDS))], "kind string, units long")
+    return C.registry_check(planned, runs).select("kind", "want", "n", "ok")
+
+
+@query(
+    "arrival_freshness",
+    f"{_WITH} SELECT count(*) FILTER (WHERE sale_date BETWEEN DATE '{AS_OF}' - INTERVAL 90 DAY AND DATE '{AS_OF}') AS recent, round(avg((sale_date BETWEEN DATE '{AS_OF}' - INTERVAL 90 DAY AND DATE '{AS_OF}')::INT), 6) AS recent_share, DATE '{AS_OF}' - max(sale_date) AS stale_days FROM sale WHERE sale_date >= DATE '{CUTOFF}' AND sale_date <= DATE '{AS_OF}'",
+)
+def arrival_freshness(spark, sf_dir):
+    s = sales(spark, sf_dir).where((F.col("sale_date") >= day(CUTOFF)) & (F.col("sale_date") <= day(AS_OF)))
+    return C.freshness(s, "sale_date", day(AS_OF)).withColumn("recent_share", F.round("recent_share", 6))
 
 
 @query("snapshot_diff", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change, a.v AS old_v, b.v AS new_v FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 10 <> 0) a FULL OUTER JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS v FROM customer WHERE c_custkey % 11 <> 0) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
@@ -174,9 +198,9 @@ def leakage_check(spark, sf_dir):
 
 @query("table_fingerprints")
 def table_fingerprints(spark, sf_dir):
-    """Rows only: digests of whole tables that don't depend on the order of rows."""
+    """Rows only: digests of all whole tables that don't depend on the order of rows."""
     out = None
-    for name in ("region", "nation", "customer", "orders"):
+    for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         t = table(spark, sf_dir, name)
         one = I.table_fingerprint(t, t.columns).select(F.lit(name).alias("table"), "n", "fingerprint")
         out = one if out is None else out.unionByName(one)

@@ -13,14 +13,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sale events: community is the part, block its brand, district its type."""
+    """Sale events: community is the part, block its brand, district its type. Floor band, building year and elevator
+    are made from the order line by fixed rules, with gaps."""
+    q = F.col("l_quantity")
+    band = F.element_at(F.array(F.lit("low"), F.lit("middle"), F.lit("high")), (F.col("l_linenumber") % 3 + 1).cast("int"))
     line = table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_partkey", F.date_format("l_shipdate", "yyyyMMdd")).alias("sale_id"), F.col("l_partkey").alias("community_id"),
-        F.col("l_quantity").alias("area"), F.col("l_extendedprice").alias("total_price"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
-        F.to_date("l_shipdate").alias("sale_date"), (F.col("l_suppkey") % 4).alias("source_rank"), F.col("l_returnflag").alias("decoration"),
-        F.col("l_linestatus").alias("orientation"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), F.col("l_orderkey").alias("home_id"),
-    )
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("community_id"), F.col("p_brand").alias("block"), F.col("p_type").alias("district"), F.col("p_size").alias("total_floors"))
+        F.concat_ws("-", "l_orderkey", "l_partkey", F.date_format("l_shipdate", "yyyyMMdd")).alias("sale_id"),
+        F.col("l_partkey").alias("community_id"),
+        q.alias("area"),
+        F.col("l_extendedprice").alias("total_price"),
+        (F.col("l_extendedprice") / q).alias("unit_price"),
+        F.to_date("l_shipdate").alias("sale_date"),
+        (F.col("l_suppkey") % 4).alias("source_rank"),
+        F.col("l_returnflag").alias("decoration"),
+        F.col("l_linestatus").alias("orientation"),
+        F.when(F.col("l_linenumber") != 7, band).alias("floor_band"),
+        F.when(q % 7 != 0, (1960 + F.col("l_orderkey") % 60).cast("int")).alias("year_built"),
+        F.when(q % 9 != 0, F.col("l_suppkey") % 2 == 0).alias("elevator"),
+        F.col("l_discount").alias("discount"),
+        F.col("l_tax").alias("tax"),
+        F.col("l_orderkey").alias("home_id"),
+    )
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("community_id"), F.col("p_brand").alias("block"), F.col("p_type").alias("district"), F.col("p_size").alias("total_floors")
+    )
     return line.join(part, "community_id")
 
 
@@ -28,8 +44,11 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 SALE_SQL = """sale AS (
     SELECT concat_ws('-', l_orderkey, l_partkey, strftime(l_shipdate, '%Y%m%d')) AS sale_id, l_partkey AS community_id, l_quantity AS area,
         l_extendedprice AS total_price, l_extendedprice / l_quantity AS unit_price, CAST(l_shipdate AS DATE) AS sale_date, l_suppkey % 4 AS source_rank,
-        l_returnflag AS decoration, l_linestatus AS orientation, l_discount AS discount, l_tax AS tax, l_orderkey AS home_id,
-        p_brand AS block, p_type AS district, p_size AS total_floors
+        l_returnflag AS decoration, l_linestatus AS orientation,
+        CASE WHEN l_linenumber <> 7 THEN ['low', 'middle', 'high'][l_linenumber % 3 + 1] END AS floor_band,
+        CASE WHEN l_quantity % 7 <> 0 THEN 1960 + l_orderkey % 60 END AS year_built,
+        CASE WHEN l_quantity % 9 <> 0 THEN l_suppkey % 2 = 0 END AS elevator,
+        l_discount AS discount, l_tax AS tax, l_orderkey AS home_id, p_brand AS block, p_type AS district, p_size AS total_floors
     FROM lineitem JOIN part ON l_partkey = p_partkey
 )"""
 

@@ -8,26 +8,19 @@ watermark's state.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+from valora.sources import scratch
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new folder for checkpoints and sinks in spark.checkpoint.dir; a temporary one only in local mode without any."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.gettempdir()
-    path = f"{named.rstrip('/')}/valora-stream-{name}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+    """A new folder for checkpoints and sinks."""
+    return scratch.place(spark, f"stream-{name}")
 
 
 def arrivals(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -64,10 +57,73 @@ def monthly(stream: DataFrame, folder: str, at: str, by: str) -> DataFrame:
     return total.crossJoin(F.broadcast(newest)).select("branch", "month", "n", (F.add_months("month", 1) <= F.to_date("newest")).alias("mature"))  # one row on the right
 
 
-def pair_labels(labels: DataFrame, predictions: DataFrame, folder: str, key: str) -> DataFrame:
-    """Each arriving label with its prediction in the store, as appended pairs; predictions stay as they are."""
-    p = predictions.withColumnRenamed(key, "__p")
-    return batches_once(labels, folder, lambda b: b.join(p, F.col(key) == F.col("__p")).drop("__p"))
+def pair_labels(labels: DataFrame, predictions: Callable[[], DataFrame], folder: str, keys: list[str], predicted_at: str, labelled_at: str) -> DataFrame:
+    """Each arriving label with its prediction, as appended pairs: same keys (id and bundle), predicted before it was
+    labelled. ``predictions`` gives the store as it is when a batch runs. A label whose prediction is not there yet waits
+    in a table and is tried again with every later batch, and by settle()."""
+    schema, at = labels.schema, f"{folder}/checkpoint"
+
+    def step(batch: DataFrame, number: int) -> None:
+        _pair(batch, predictions(), folder, f"{number:012}", keys, predicted_at, labelled_at)
+
+    labels.writeStream.foreachBatch(step).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return pairs_of(labels.sparkSession, folder, schema, predictions().schema, keys)
+
+
+def settle(spark: SparkSession, labels: StructType, predictions: DataFrame, folder: str, keys: list[str], predicted_at: str, labelled_at: str) -> DataFrame:
+    """Tries the waiting labels again, for predictions that came without new labels; returns all pairs."""
+    last = _steps(spark, folder)
+    if last:
+        number, _, again = last[-1].partition("-")
+        _pair(spark.createDataFrame([], labels), predictions, folder, f"{number}-{int(again or 0) + 1:06}", keys, predicted_at, labelled_at)
+    return pairs_of(spark, folder, labels, predictions.schema, keys)
+
+
+def _steps(spark: SparkSession, folder: str) -> list[str]:
+    """Steps that have been finished, in their order."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/waiting")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(at)] if fs.exists(at) else []
+    done = [f.getName() for f in found if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return sorted(name.removeprefix("step=") for name in done)
+
+
+def _pair(batch: DataFrame, predictions: DataFrame, folder: str, step: str, keys: list[str], predicted_at: str, labelled_at: str) -> None:
+    """One step: pairs of the labels waiting so far and the batch's, then the labels that still wait. Its folders bear its
+    name, so a step that runs twice leaves one result; it reads the step before it only, not all labels again."""
+    spark = batch.sparkSession
+    earlier = [s for s in _steps(spark, folder) if s < step]
+    every = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/waiting/step={earlier[-1]}")) if earlier else batch
+    p = predictions.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = F.col(predicted_at) < F.col(labelled_at)
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"__{k}"))
+    every.join(p, on).drop(*[f"__{k}" for k in keys]).write.mode("overwrite").parquet(f"{folder}/pairs/step={step}")
+    every.join(p, on, "left_anti").write.mode("overwrite").parquet(f"{folder}/waiting/step={step}")
+
+
+def pairs_of(spark: SparkSession, folder: str, labels: StructType, predictions: StructType, keys: list[str]) -> DataFrame:
+    """All pairs so far; none before the first step."""
+    schema = StructType([*labels.fields, *[f for f in predictions.fields if f.name not in keys]])
+    steps = [f"{folder}/pairs/step={s}" for s in _steps(spark, folder)]
+    return spark.read.schema(schema).parquet(*steps) if steps else spark.createDataFrame([], schema)
+
+
+def arrival_checks(stream: DataFrame, folder: str, key: str, value: str, date: str) -> DataFrame:
+    """Each arriving batch against all that came before it: census.arrival() by batch. Batches are kept under their
+    number, so a batch that runs twice is compared with the same ones and leaves one row."""
+    from valora.operators.census import arrival
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        kept = batch.select(key, value, date)
+        kept.write.mode("overwrite").parquet(f"{folder}/arrived/batch={number}")
+        before = spark.read.schema(kept.schema).parquet(*[f"{folder}/arrived/batch={k}" for k in range(number)]) if number else kept.limit(0)
+        checked = arrival(spark.read.schema(kept.schema).parquet(f"{folder}/arrived/batch={number}"), before, key, value, date)
+        checked.write.mode("overwrite").parquet(f"{folder}/data/batch={number}")
+
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{folder}/data")
 
 
 def with_suspensions(stream: DataFrame, suspended: DataFrame, branch: str) -> DataFrame:
