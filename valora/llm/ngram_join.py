@@ -240,8 +240,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     # where a component fits into one block it is one group; elsewhere each bucket of two nodes or more is one
     blocks = lambda g, n: F.greatest(F.ceil(g / BLOCK_NODES), F.ceil(n / BLOCK_GRAMS))
     size = [F.count(F.lit(1)).alias("g"), F.sum("n_grams").alias("grams")]
-    comps = groups.groupBy("comp").agg(*size).select("comp", blocks(F.col("g"), F.col("grams")).alias("n_blocks"))
-    placed = S.cut(groups.join(comps, "comp"))
+    # written first: a component that a third of the nodes share does not deal the join
+    comps = S.cut(groups.groupBy("comp").agg(*size).select("comp", blocks(F.col("g"), F.col("grams")).alias("n_blocks")))
+    n_comps, _ = S.measured(comps, F.lit(0))
+    placed = S.cut(S.attach(groups, comps, ["comp"], 32 * n_comps, "inner"))
     whole = placed.where("n_blocks = 1").select("node", "copies", "rep", "n_grams", "bands", F.col("comp").alias("group"), F.lit(-1).alias("band"), "n_blocks")
     split = placed.where("n_blocks > 1").select("node", "copies", "rep", "n_grams", "bands", F.posexplode("bands").alias("band", "group"))
     buckets = split.groupBy("band", "group").agg(*size).where("g > 1").select(F.col("band").alias("b"), F.col("group").alias("k"), blocks(F.col("g"), F.col("grams")).alias("n_blocks"))
