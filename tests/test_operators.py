@@ -42,6 +42,18 @@ class TestMissing:
         got = [(r["v"], r["s"]) for r in df.select(value.alias("v"), status.alias("s")).collect()]
         assert got == [(12.0, "PARSED"), (0.0, "PARSED"), (None, "MISSING"), (None, "MISSING"), (None, "MISSING"), (None, "PARSE_FAILURE")]
 
+    def test_not_applicable_and_conflict(self, spark):
+        df = spark.createDataFrame([("12", True, True), ("12", False, True), ("12", True, False), ("12", None, None), ("--", True, False), ("x", True, True)], "raw string, applies boolean, agrees boolean")
+        value, status = missing.judged(F.col("raw"), F.col("raw").try_cast("double"), F.col("applies"), F.col("agrees"))
+        assert [tuple(r) for r in df.select(value, status).collect()] == [(12.0, "PARSED"), (None, "NOT_APPLICABLE"), (None, "CONFLICT"), (12.0, "PARSED"), (None, "MISSING"), (None, "PARSE_FAILURE")]
+
+    def test_floors_that_disagree_stop_a_run(self, spark):
+        df = spark.createDataFrame([(6, "of 5 floors"), (None, "of 9 floors")], "floors int, description string")
+        filled = clean.backfilled(df)
+        assert clean.assert_agreed(filled).count() == 2
+        with pytest.raises(ValueError, match="1 rows"):
+            clean.assert_agreed(clean.backfilled(spark.createDataFrame([(6, "of 25 floors")], "floors int, description string")))
+
     def test_floor_and_remark(self, spark):
         df = spark.createDataFrame([("low floor / total 6 floors", "of 61 floors"), ("high up", "level 3/18"), (None, None)], "raw string, remark string")
         band, total, status = parsing.floor(F.col("raw"))

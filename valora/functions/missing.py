@@ -28,5 +28,15 @@ def number(raw: Column) -> tuple[Column, Column]:
     return tagged(raw, without_placeholder(raw).try_cast("double"))
 
 
+def judged(raw: Column, parsed: Column, applies: Column, agrees: Column) -> tuple[Column, Column]:
+    """As tagged(), for fields that not every row can have and that other evidence may contradict: NOT_APPLICABLE where
+    the field makes no sense for the row, CONFLICT where a value is there and other evidence says otherwise. Neither
+    keeps a value; unknown evidence contradicts nothing."""
+    value, status = tagged(raw, parsed)
+    conflict = (status == PARSED) & ~F.coalesce(agrees, F.lit(True))
+    status = F.when(~F.coalesce(applies, F.lit(True)), NOT_APPLICABLE).when(conflict, CONFLICT).otherwise(status)
+    return F.when(status == PARSED, value), status
+
+
 def text_or_unknown(value: Column) -> Column:
     return F.coalesce(value, F.lit(UNKNOWN))

@@ -39,6 +39,15 @@ def backfilled(std: DataFrame) -> DataFrame:
     })
 
 
+def assert_agreed(filled: DataFrame) -> DataFrame:
+    """backfilled() rows as they are; raises if floor texts and remarks contradict each other anywhere: what disagrees is
+    registered and judged first, never filled over."""
+    n = filled.where(~F.col("agrees")).count()
+    if n:
+        raise ValueError(f"{n} rows whose floors disagree with their remark")
+    return filled
+
+
 def exclusion_reason(params: Params = PARAMS) -> Column:
     """First rule that a standardised row breaks, or null."""
     def outside(c, limits):

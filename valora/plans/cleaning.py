@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from valora.functions import parsing as P
+from valora.functions import missing as V, parsing as P
 from valora.operators import annotations as N, clean as C
 from valora.plans.registry import query
 from valora.sources.tables import RAW_SQL, SALE_SQL, raw_export, sales, table
@@ -46,6 +46,21 @@ def missing_tags(spark, sf_dir):
     return s.groupBy("area_status").agg(F.count(F.lit(1)).alias("n"), F.count("area_value").alias("n_values"), F.coalesce(F.round(F.sum("area_value"), 2), F.lit(0.0)).alias("total"))
 
 
+@query(
+    "missing_classes",
+    f"""WITH {RAW_SQL}, j AS (SELECT CASE WHEN usage = 'parking' THEN 'NOT_APPLICABLE' WHEN area_raw IS NULL OR area_raw = 'no data' THEN 'MISSING' WHEN TRY_CAST(area_raw AS DOUBLE) IS NULL THEN 'PARSE_FAILURE'
+    WHEN abs(CAST(area_raw AS DOUBLE) - CASE WHEN a % 6 = 0 THEN area + 9 ELSE area END) > 5 THEN 'CONFLICT' ELSE 'PARSED' END AS status, area_raw FROM raw)
+SELECT status, count(*) AS n, coalesce(round(sum(CASE WHEN status = 'PARSED' THEN CAST(area_raw AS DOUBLE) END), 2), 0.0) AS total FROM j GROUP BY 1""",
+)
+def missing_classes(spark, sf_dir):
+    """All five statuses of a field: parking lots have no living area, and a second source contradicts some areas."""
+    r = raw_export(spark, sf_dir)
+    said = V.without_placeholder(F.col("area_raw")).try_cast("double")
+    other = F.when(F.col("area") % 6 == 0, F.col("area") + 9).otherwise(F.col("area"))
+    value, status = V.judged(F.col("area_raw"), said, F.col("usage") != "parking", F.abs(said - other) <= 5)
+    return r.select(value.alias("value"), status.alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.round(F.sum("value"), 2), F.lit(0.0)).alias("total"))
+
+
 @query("floor_parse", STD_SQL + " SELECT band, floors, floor_status, count(*) AS n FROM fin GROUP BY ALL")
 def floor_parse(spark, sf_dir):
     return C.standardised(raw_export(spark, sf_dir)).groupBy("band", "floors", "floor_status").agg(F.count(F.lit(1)).alias("n"))
