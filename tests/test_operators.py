@@ -606,6 +606,19 @@ class TestIntegrity:
         files.switch_pointer(spark, p, "run2")
         assert first[0] == "run1" and files.resolve_pointer(spark, p)[0] == "run2" and files.resolve_pointer(spark, p)[1] != first[1]
 
+    def test_scans_stay_with_their_run_and_contract(self, spark, tmp_path):
+        base = f"file://{tmp_path}"
+        for run, n in (("run1", 2), ("run2", 5)):
+            spark.range(n).withColumn("name", F.lit(run)).write.parquet(f"{base}/{run}/mart")
+        files.switch_pointer(spark, f"{base}/current.json", "run1")
+        df, run = files.scan(spark, base, f"{base}/current.json", "mart", "id long, name string")
+        files.switch_pointer(spark, f"{base}/current.json", "run2")
+        assert run == "run1" and df.count() == 2 and {r["name"] for r in df.collect()} == {"run1"}
+        assert files.scan(spark, base, f"{base}/current.json", "mart", "id long")[0].columns == ["id"]
+        for bad in ("id int", "id long, price double"):
+            with pytest.raises(ValueError, match="contract"):
+                files.scan(spark, base, f"{base}/current.json", "mart", bad)
+
     def test_frozen_files(self, spark, tmp_path):
         (tmp_path / "in").mkdir()
         (tmp_path / "in/a").write_text("1")

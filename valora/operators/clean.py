@@ -80,6 +80,18 @@ def coverage(std: DataFrame, fields: list[str]) -> DataFrame:
     return n.join(whole, F.col("field") == F.col("f")).select("field", "status", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
 
 
+def attribute_health(filled: DataFrame, fields: list[str]) -> DataFrame:
+    """Over backfilled() rows, each measure with its rows and share: of each field the hit rate (readable texts among
+    those that say anything), rows whose floors neither the floor text nor the remark gives, and rows in which both are
+    there and contradict each other."""
+    said = {f: F.col(f"{f}_status") != "MISSING" for f in fields}
+    parts = [F.struct(F.lit(f"{f} hit").alias("measure"), (F.col(f"{f}_status") == "PARSED").alias("hit"), said[f].alias("counts")) for f in fields]
+    neither = (F.col("floor_status") != "PARSED") & F.col("floors_remark").isNull()
+    parts += [F.struct(F.lit(n).alias("measure"), c.alias("hit"), F.lit(True).alias("counts")) for n, c in (("no floors at all", neither), ("floors contradict", ~F.col("agrees")))]
+    one = filled.select(F.explode(F.array(*parts)).alias("x")).where("x.counts")
+    return one.groupBy("x.measure").agg(F.count(F.lit(1)).alias("rows"), F.count_if("x.hit").alias("n"), F.avg(F.col("x.hit").cast("int")).alias("share"))
+
+
 def in_population(std: DataFrame, districts: list[str]) -> DataFrame:
     """Rows before and after each filter of the population."""
     flags = std.select(F.col("district").isin(*districts).alias("d"), F.col("usage").isin(*RESIDENTIAL).alias("u"))

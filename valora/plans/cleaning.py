@@ -157,6 +157,23 @@ def attribute_coverage(spark, sf_dir):
     return C.coverage(C.standardised(raw_export(spark, sf_dir)), ["area", "floor", "decoration", "year"])
 
 
+_HITS = " UNION ALL ".join(f"SELECT '{f} hit' AS measure, {f}_status = 'PARSED' AS hit FROM h WHERE {f}_status <> 'MISSING'" for f in ("area", "floor", "decoration", "year"))
+
+
+@query(
+    "attribute_health",
+    STD_SQL
+    + f""", h AS (SELECT *, CASE WHEN remark0 BETWEEN 1 AND 60 THEN remark0 END AS floors_remark FROM fin), x AS ({_HITS}
+UNION ALL SELECT 'no floors at all', floor_status <> 'PARSED' AND floors_remark IS NULL FROM h
+UNION ALL SELECT 'floors contradict', NOT coalesce({_BUCKET.format("floors")} = {_BUCKET.format("floors_remark")}, true) FROM h)
+SELECT measure, count(*) AS rows, count(*) FILTER (WHERE hit) AS n, round(avg(hit::INT), 6) AS share FROM x GROUP BY 1""",
+)
+def attribute_health(spark, sf_dir):
+    """D10's hit rates, joint floor failure and conflicts."""
+    h = C.attribute_health(C.backfilled(C.standardised(raw_export(spark, sf_dir))), ["area", "floor", "decoration", "year"])
+    return h.withColumn("share", F.round("share", 6))
+
+
 @query("attached_fields", STD_SQL + " SELECT ladder_raw, round(CAST(regexp_extract(ladder_raw, '(\\d+) lifts (\\d+) households', 1) AS DOUBLE) / CAST(regexp_extract(ladder_raw, '(\\d+) lifts (\\d+) households', 2) AS DOUBLE), 6) AS lift_ratio, count(*) AS n FROM fin GROUP BY ALL")
 def attached_fields(spark, sf_dir):
     s = C.standardised(raw_export(spark, sf_dir))

@@ -73,6 +73,19 @@ def resolve_pointer(spark: SparkSession, pointer: str) -> tuple[str, str]:
     return json.loads(text)["run"], hashlib.sha256(text.encode()).hexdigest()
 
 
+def scan(spark: SparkSession, root: str, pointer: str, table: str, schema: str) -> tuple[DataFrame, str]:
+    """A table of the run that the pointer names, and that run: read once, so that a job stays with its run when the
+    pointer moves. The files must have the schema's columns and types; what else they have is not read."""
+    run, _ = resolve_pointer(spark, pointer)
+    path = f"{root.rstrip('/')}/{run}/{table}"
+    want = spark.createDataFrame([], schema).schema
+    have = {f.name: f.dataType for f in spark.read.parquet(path).schema}
+    wrong = [f.name for f in want if have.get(f.name) != f.dataType]
+    if wrong:
+        raise ValueError(f"{path} breaks its contract in {', '.join(wrong)}")
+    return spark.read.schema(want).parquet(path), run
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, length and SHA-256 of every file below a folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
