@@ -140,6 +140,30 @@ def mix(docs: DataFrame) -> DataFrame:
     return full.select("doc_id", F.col("__source").alias("source"), "size", "source_size", "target", "rate", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def mixing_targets(spark, sf_dir: str) -> DataFrame:
+    """The targets alone, by source, rounded; SQL has them too."""
+    text = F.coalesce("text", F.lit(""))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("__source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n"))
+    found = targets(docs.groupBy("__source").agg(F.sum("n").alias("size")))
+    return found.select(F.col("__source").alias("source"), "size", "weight", F.round("target", 4).alias("target"))
+
+
+#: The level of each source if the sources before it, by how soon they reach their caps, are at theirs.
+TARGETS_SQL = """
+WITH s AS (
+    SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) AS BIGINT) AS size FROM documents GROUP BY 1
+), w AS (
+    SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2.0 * size AS most FROM s
+), l AS (
+    SELECT *, (1.5 * sum(size) OVER () - coalesce(sum(most) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+    FROM w WINDOW before AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), found AS (
+    SELECT max(level) AS level FROM l WHERE level <= most / weight
+)
+SELECT source, size, CAST(weight AS DOUBLE) AS weight, round(CAST(least(most, coalesce(found.level * weight, most)) AS DOUBLE), 4) AS target FROM l, found
+"""
+
+
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from valora.llm.decontaminate import op6_decontaminate, op6_short_items
 from valora.llm.language_id import op1_language_id
-from valora.llm.license_scan import op3_license_scan
+from valora.llm.license_scan import BASE_SQL, license_base, op3_license_scan
 from valora.llm.lm_score import op5_lm_score
 from valora.llm.media_chunks import op10_media_chunks
-from valora.llm.mixing import op2_mixing
+from valora.llm.mixing import TARGETS_SQL, mixing_targets, op2_mixing
 from valora.llm.ngram_join import op7_ngram_join
 from valora.llm.quality import op4_quality
 from valora.llm.substring_dedup import OP8_SQL, op8_substring_dedup
@@ -25,5 +25,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_media_chunks": op10_media_chunks,
+    # parts of 2 and 3 that SQL can express
+    "mixing_targets": mixing_targets,
+    "license_base": license_base,
 }
-ORACLE: dict[str, str] = {"op8_substring_dedup": OP8_SQL}
+ORACLE: dict[str, str] = {"op8_substring_dedup": OP8_SQL, "mixing_targets": TARGETS_SQL, "license_base": BASE_SQL}
