@@ -72,6 +72,12 @@ def packed(docs: DataFrame):
     return F.struct(*[c.alias(f"c{k}") for k, c in enumerate(every(docs))])
 
 
+def plain(docs: DataFrame) -> tuple[list, str]:
+    """docs' columns under the names that packed() gives them, and that of text among them: what an Arrow function takes,
+    so that the text is sent once."""
+    return [c.alias(f"c{k}") for k, c in enumerate(every(docs))], f"c{docs.columns.index('text')}"
+
+
 def unpacked(row, docs: DataFrame) -> list:
     """The columns of a struct that packed() made, under their own names."""
     return [row[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)]

@@ -180,16 +180,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees
 
 
 def _scored(docs: DataFrame, trees: Trees) -> DataFrame:
-    """docs' rows as a struct, row, with their score; text is read."""
+    """docs' rows under plain names (c0, c1 and so on) with their score; text is read."""
     sent = docs.sparkSession.sparkContext.broadcast(trees)
+    columns, text = S.plain(docs)
 
     def run(batches):
-        for rows, data, offs in K.blocks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sent.value.predict(statistics(data, offs)))], names=["row", "score"])
+        for rows, data, offs in K.blocks(batches, text):
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sent.value.predict(statistics(data, offs)))], names=[*rows.schema.names, "score"])
 
     S.small_batches(docs.sparkSession)
-    slim = docs.select(S.packed(docs).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    return slim.mapInArrow(run, T.StructType([slim.schema["row"], T.StructField("score", T.DoubleType())]))
+    slim = docs.select(*columns)
+    return slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def score(docs: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
@@ -199,7 +200,7 @@ def score(docs: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
     slim = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
     place = {c: f"c{k}" for k, c in enumerate(slim.columns)}
-    return _scored(slim, trees).select(*[F.col("row")[place[c]].alias(c) for c in kept.columns], F.col("score").alias("__score"))
+    return _scored(slim, trees).select(*[F.col(place[c]).alias(c) for c in kept.columns], F.col("score").alias("__score"))
 
 
 def held_out(column="doc_id"):
@@ -210,7 +211,7 @@ def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs with a score of ACCEPT or more, by trees that learn from the labelled rows
     that are not held out."""
     trees = train(docs.select("doc_id", "text").where(~held_out()), labels.where(~held_out()))
-    return _scored(docs, trees).where(F.col("score") >= ACCEPT).select(*S.unpacked(F.col("row"), docs))
+    return _scored(docs, trees).where(F.col("score") >= ACCEPT).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

@@ -169,40 +169,44 @@ def _repeated(e: B.Entries) -> np.ndarray:
     return order[ids > least]
 
 
-def _kept(batches):
-    """For each row its columns, its words, the removed ones, and the others joined by a blank."""
-    for rows, data, offs in K.blocks(batches, "__text"):
-        w = K.words(data, offs)
-        counts = w.counts
-        edge = np.zeros(len(w.start) + 1, np.int32)
-        whole = _rows(rows, "__whole")
-        for k, (lo, hi) in enumerate(zip(rows.column("__lo").to_pylist(), rows.column("__hi").to_pylist(), strict=True)):
-            if whole[k] and counts[k] >= WINDOW:
-                a, b = np.array([0]), np.array([counts[k]])
-            elif lo is not None:
-                a, b = np.frombuffer(lo, np.int32), np.frombuffer(hi, np.int32)
-            else:
-                continue
-            np.add.at(edge, w.at[k] + np.minimum(a, counts[k]), 1)
-            np.add.at(edge, w.at[k] + np.minimum(b, counts[k]), -1)
-        stay = np.cumsum(edge)[:-1] <= 0
-        n_kept = K.segment_sums(stay, w.at)
-        start, end, doc = w.start[stay], w.end[stay], w.doc()[stay]
-        more = np.zeros(len(start), np.int64)  # a blank after each kept word but the last of a text
-        more[:-1] = doc[1:] == doc[:-1]
-        mark = np.zeros(len(data) + 1, np.int8)
-        mark[start] += 1
-        np.subtract.at(mark, end + more, 1)
-        out = data.copy()
-        out[end[more > 0]] = 0x20
-        out = out[np.cumsum(mark[:-1]) > 0]
-        sizes = np.zeros(len(counts) + 1, np.int64)
-        np.add.at(sizes, doc + 1, end - start + more)
-        text = pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(np.cumsum(sizes)), pa.py_buffer(out))
-        yield pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array(counts), pa.array(counts - n_kept), text.cast(pa.string())],
-            names=["row", "n_words", "n_removed", "kept"],
-        )
+def _kept(text: str, n: int):
+    """For each row its n columns, its words, the removed ones, and the others joined by a blank."""
+
+    def run(batches):
+        for rows, data, offs in K.blocks(batches, text):
+            w = K.words(data, offs)
+            counts = w.counts
+            edge = np.zeros(len(w.start) + 1, np.int32)
+            whole = _rows(rows, "__whole")
+            for k, (lo, hi) in enumerate(zip(rows.column("__lo").to_pylist(), rows.column("__hi").to_pylist(), strict=True)):
+                if whole[k] and counts[k] >= WINDOW:
+                    a, b = np.array([0]), np.array([counts[k]])
+                elif lo is not None:
+                    a, b = np.frombuffer(lo, np.int32), np.frombuffer(hi, np.int32)
+                else:
+                    continue
+                np.add.at(edge, w.at[k] + np.minimum(a, counts[k]), 1)
+                np.add.at(edge, w.at[k] + np.minimum(b, counts[k]), -1)
+            stay = np.cumsum(edge)[:-1] <= 0
+            n_kept = K.segment_sums(stay, w.at)
+            start, end, doc = w.start[stay], w.end[stay], w.doc()[stay]
+            more = np.zeros(len(start), np.int64)  # a blank after each kept word but the last of a text
+            more[:-1] = doc[1:] == doc[:-1]
+            mark = np.zeros(len(data) + 1, np.int8)
+            mark[start] += 1
+            np.subtract.at(mark, end + more, 1)
+            out = data.copy()
+            out[end[more > 0]] = 0x20
+            out = out[np.cumsum(mark[:-1]) > 0]
+            sizes = np.zeros(len(counts) + 1, np.int64)
+            np.add.at(sizes, doc + 1, end - start + more)
+            kept = pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(np.cumsum(sizes)), pa.py_buffer(out))
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns[:n], pa.array(counts), pa.array(counts - n_kept), kept.cast(pa.string())],
+                names=[*rows.schema.names[:n], "n_words", "n_removed", "kept"],
+            )
+
+    return run
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -211,11 +215,11 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     taken = {"__n_words", "__n_removed", "__kept"} & {c.lower() for c in docs.columns}
     if taken:
         raise ValueError(f"the result has columns of its own called {', '.join(sorted(taken))}")
-    return _deduped(docs).select(*S.unpacked(F.col("row"), docs), *[F.col(c).alias(f"__{c}") for c in ("n_words", "n_removed", "kept")])
+    return _deduped(docs).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], *[F.col(c).alias(f"__{c}") for c in ("n_words", "n_removed", "kept")])
 
 
 def _deduped(docs: DataFrame) -> DataFrame:
-    """docs' rows as a struct, row, with n_words, n_removed and kept."""
+    """docs' rows under plain names (c0, c1 and so on) with n_words, n_removed and kept."""
     S.small_batches(docs.sparkSession)
     keyed = _keyed(docs)
     slim = ["__id", "__fp", "__text"]
@@ -246,9 +250,10 @@ def _deduped(docs: DataFrame) -> DataFrame:
     )
     _, removed_bytes = S.measured(removed, F.coalesce(F.octet_length("lo") * 2, F.lit(0)) + 60)
     full = S.attach(keyed, removed.withColumnsRenamed({"lo": "__lo", "hi": "__hi", "whole": "__whole"}), ["__id", "__fp"], removed_bytes)
-    full = full.select("row", "__text", "__lo", "__hi", F.coalesce("__whole", F.lit(False)).alias("__whole"))
-    out = T.StructType([full.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return full.mapInArrow(_kept, out)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    full = full.select(*[F.col("row")[c].alias(c) for c in names], "__lo", "__hi", F.coalesce("__whole", F.lit(False)).alias("__whole"))
+    out = T.StructType([*full.schema.fields[: len(names)], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    return full.mapInArrow(_kept(S.plain(docs)[1], len(names)), out)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -257,7 +262,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     changed = F.col("n_removed") > 0
     out = []
     for k, c in enumerate(docs.columns):
-        was = F.col("row")[f"c{k}"]
+        was = F.col(f"c{k}")
         if c == "text":
             was = F.when(changed, F.col("kept")).otherwise(was)
         elif c == "n_chars":
