@@ -700,6 +700,12 @@ class TestLmScore:
         assert a > 0.7 * b
         assert lm_score.score(empty, MODEL, model).count() == 0
 
+    def test_every_window_is_learned_from(self, spark):
+        df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+        model = lm_score.fit(df, MODEL)
+        pieces = [r["n_pieces"] for r in lm_score.score(df, MODEL, model).collect()]
+        assert model.learned == sum(-(-n // lm_score.STEP) for n in pieces) > 2 * len(pieces)
+
     def test_windows_are_shared_out_by_documents(self):
         m = lm_score.Attention(np.arange(3000, 0, -1), np.zeros(3000, bool))
         ids = np.random.default_rng(3).integers(0, 3000, 700).astype(np.int32)

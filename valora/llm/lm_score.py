@@ -25,8 +25,7 @@ The attention layer is trained in numpy: STEPS steps on a bounded sample (at mos
 SAMPLE documents, those with the smallest hashes, and SAMPLE_WINDOWS windows of
 each) give a start that all tasks share; from it each task takes a step for every
 BATCH of its windows, and the tasks' weights are averaged by their windows. All
-training documents take part, each with one window of LEARN_EVERY (and one at
-least), from a place that its hash chooses. So counts, documents, windows and steps follow the input.
+windows of all training documents take part. So counts, documents, windows and steps follow the input.
 Which rows share a task changes the weights a little.
 
 Every text is tokenised once and its ids are stored; counting, learning and
@@ -54,8 +53,8 @@ from valora.llm import _bins as B, _kernel as K, _spark as S
 
 INPUTS, GROUPS, MEMBERS, RARE_BANDS, WIDTH, KEYS, CONTEXT, STEP = 2048, 16, 14, 6, 32, 8, 8, 24
 CLASSES = GROUPS * MEMBERS
-#: Counts that smooth the shares of classes after an input; one window of so many of a training document is learned from.
-SMOOTH, LEARN_EVERY = 500.0, 3
+#: Counts that smooth the shares of classes after an input.
+SMOOTH = 500.0
 #: Columns of a state: WIDTH and a one, so that constants are rows of the matrices that states are multiplied with.
 HALF = WIDTH + 1
 #: A score so low that its share of attention is exactly zero.
@@ -569,8 +568,8 @@ def fit_tokens(tokens: Tokens) -> Attention:
         m.p = {k: v.copy() for k, v in m.p.items()}
 
         def found():
-            for rows, ids, at in _sequences(batches):
-                yield m.windows(ids, at, rows.column(0).to_numpy(), LEARN_EVERY)[1]
+            for _, ids, at in _sequences(batches):
+                yield m.windows(ids, at)[1]
 
         n = m.learn(found())
         if n:
@@ -584,7 +583,7 @@ def fit_tokens(tokens: Tokens) -> Attention:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], names=["n", "weights"])
 
-    learned = S.cut(rows.select(F.pmod(F.xxhash64(F.lit(54), "doc_id", "th"), F.lit(1 << 20)).alias("h"), "ids").mapInArrow(learn, "n long, weights binary"))
+    learned = S.cut(rows.select("ids").mapInArrow(learn, "n long, weights binary"))
     total = 0.0
     for row in learned.coalesce(8).mapInArrow(added, "n long, weights binary").toLocalIterator():
         model.learned, total = model.learned + row["n"], total + np.frombuffer(row["weights"])
