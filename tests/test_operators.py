@@ -497,6 +497,19 @@ class TestMetrics:
         n = spark.range(20_000).select(metrics.poisson_count(metrics.draw(F.col("id"), F.lit(3), 1)).alias("n")).toPandas()["n"]
         assert abs(n.mean() - 1) < 0.03 and abs(n.var() - 1) < 0.06
 
+    def test_draws_are_the_md5_of_unit_replicate_and_seed(self, spark):
+        import hashlib
+
+        units = [(u, float(k), k % 3 + 1) for k, u in enumerate(["7", "12", "1234567", "é-x", "d" * 40, "x" * 70, None])]
+        rows = [(u, d) for u, d, n in units for _ in range(n)]
+        got = {r["replicate"]: r["mean"] for r in metrics.bootstrap(spark.createDataFrame(rows, "u string, d double"), "u", "d", 1003, 5).collect()}
+        for r in range(1003):
+            drawn = [int(hashlib.md5(f"{u}:{r}:5".encode()).hexdigest()[:8], 16) / 2**32 for u, *_ in units[:-1]]
+            times = [sum(x >= c for c in metrics.POISSON) for x in drawn]
+            n = sum(t * n for t, (_, _, n) in zip(times, units, strict=False))
+            want = sum(t * n * d for t, (_, d, n) in zip(times, units, strict=False)) / n if n else None
+            assert got[r] == (pytest.approx(want) if n else None), r
+
     def test_spread_is_the_standard_error(self, spark):
         rng = np.random.default_rng(1)
         x = rng.normal(3, 2, 400)

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from valora.config import PARAMS, Params
+from valora.functions import draws
 from valora.operators.quantiles import exact_quantiles, with_quantiles
+from valora.sources import scratch
 
 
 def errors(df: DataFrame) -> DataFrame:
@@ -91,14 +95,46 @@ def poisson_count(u: Column) -> Column:
     return sum(((u >= c).cast("int") for c in POISSON), F.lit(0))
 
 
+#: Draws for a task of a bootstrap: some seconds' work.
+TASK_DRAWS = 40_000_000
+
+
 def bootstrap(df: DataFrame, unit: str, value: str, replicates: int, seed: int) -> DataFrame:
     """Replicate means of a paired difference, units drawn with replacement. Units are added up first, so
-    that the replicates multiply units and not rows."""
-    by = df.groupBy(F.col(unit).alias("unit")).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
-    drawn = by.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = drawn.withColumn("u", draw(F.col("unit"), F.col("replicate"), seed))
-    drawn = drawn.select("replicate", "total", "n", poisson_count(F.col("u")).alias("times"))
-    return drawn.groupBy("replicate").agg((F.sum(F.col("times") * F.col("total")) / F.sum(F.col("times") * F.col("n"))).alias("mean"))
+    that the replicates multiply units and not rows, and a task adds up its units' draws, the numbers of draw(), by
+    replicate, so that draws are never rows. Rows without a unit take no part."""
+    by = df.groupBy(F.col(unit).cast("string").alias("unit")).agg(F.sum(value).cast("double").alias("total"), F.count(F.lit(1)).alias("n"))
+    by = scratch.cut(by.where(F.col("unit").isNotNull()), "units")
+    tasks = max(1, -(-by.count() * replicates // TASK_DRAWS))
+
+    def run(batches):
+        out, known = 0.0, None
+        for batch in _gathered(batches, draws.AT_ONCE):
+            text = batch.column(0).cast(pa.large_binary())
+            at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+            some = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            known = bool(known) or bool(some.any())
+            values = np.column_stack([np.where(some, batch.column(1).to_numpy(zero_copy_only=False), 0.0), batch.column(2).to_numpy()])
+            out = out + draws.drawn_sums(raw, at, values, replicates, seed, POISSON)
+        if known is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), pa.array(out[:, 0], mask=np.full(replicates, not known)), pa.array(out[:, 1])], names=["replicate", "total", "n"])
+
+    drawn = by.repartition(tasks).mapInArrow(run, "replicate int, total double, n double")
+    return drawn.groupBy("replicate").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean"))
+
+
+def _gathered(batches, least: int):
+    """Batches joined into ones of ``least`` rows or more, but for the last one."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= least:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
 
 
 def envelope(parts: list[DataFrame]) -> DataFrame:
