@@ -95,8 +95,8 @@ def poisson_count(u: Column) -> Column:
     return sum(((u >= c).cast("int") for c in POISSON), F.lit(0))
 
 
-#: Draws for a task of a bootstrap: some seconds' work.
-TASK_DRAWS = 40_000_000
+#: Draws for a task of a bootstrap, at most and, where there are fewer tasks than cores, at least: some seconds' work.
+TASK_DRAWS, LEAST_DRAWS = 1 << 27, 1 << 22
 
 
 def bootstrap(df: DataFrame, unit: str, value: str, replicates: int, seed: int) -> DataFrame:
@@ -105,7 +105,8 @@ def bootstrap(df: DataFrame, unit: str, value: str, replicates: int, seed: int)
     replicate, so that draws are never rows. Rows without a unit take no part."""
     by = df.groupBy(F.col(unit).cast("string").alias("unit")).agg(F.sum(value).cast("double").alias("total"), F.count(F.lit(1)).alias("n"))
     by = scratch.cut(by.where(F.col("unit").isNotNull()), "units")
-    tasks = max(1, -(-by.count() * replicates // TASK_DRAWS))
+    n = by.count() * replicates
+    tasks = max(1, -(-n // TASK_DRAWS), min(by.sparkSession.sparkContext.defaultParallelism, n // LEAST_DRAWS))
 
     def run(batches):
         out, known = 0.0, None
