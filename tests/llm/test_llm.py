@@ -746,6 +746,27 @@ class TestLmScore:
             assert grads[k][cell] == pytest.approx((up - down) / 0.04, rel=0.05, abs=2e-5), (k, cell)
         assert not grads["ask"][:, [lm_score.WIDTH, -1]].any() and not grads["give"][:, [lm_score.WIDTH, -1]].any()
 
+    @pytest.mark.parametrize("at", [[7] * 700, list(range(50)), [0, 3, 0], [9]])
+    def test_rows_are_added_up_by_index(self, at):
+        rng = np.random.default_rng(6)
+        at = np.concatenate([at, rng.zipf(1.4, 500) % 300]) if len(at) > 3 else np.array(at)
+        rows = rng.normal(size=(len(at), 5)).astype(np.float32)
+        found, got = lm_score._scattered(at, rows)
+        want = np.zeros((found.max() + 1, 5))
+        np.add.at(want, at, rows)
+        assert found.tolist() == sorted(set(at.tolist())) and np.allclose(got, want[found], atol=1e-4)
+
+    def test_adam_takes_the_steps_of_its_definition(self):
+        rng = np.random.default_rng(7)
+        p, adam, mean, square = {"x": np.zeros((3, 4), np.float32)}, lm_score.Adam(), 0.0, 0.0
+        want = np.zeros((3, 4))
+        for step in range(1, 30):
+            grad = rng.normal(size=(3, 4)).astype(np.float32) * (rng.random((3, 4)) < 0.5)
+            mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad.astype(float) ** 2
+            want -= 0.01 * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1e-7)
+            adam.step(p, {"x": grad.copy()}, 0.01)
+        assert np.allclose(p["x"], want, rtol=1e-3, atol=1e-5)
+
     def test_ids_ranked_under_212_have_their_own_class(self):
         m = lm_score.Attention(np.arange(3000, 0, -1), np.zeros(3000, bool))
         assert m.cls[:212].tolist() == list(range(212)) and m.cls[212:].min() >= 212

@@ -53,6 +53,8 @@ from valora.llm import _bins as B, _kernel as K, _spark as S
 
 INPUTS, GROUPS, MEMBERS, RARE_BANDS, WIDTH, KEYS, CONTEXT, STEP = 2048, 16, 14, 6, 32, 8, 8, 24
 CLASSES = GROUPS * MEMBERS
+#: Columns of a place's scores: groups, members, and none up to a width that matrix products are fast for.
+SCORES = 32
 #: Counts that smooth the shares of classes after an input.
 SMOOTH = 500.0
 #: Columns of a state: WIDTH and a one, so that constants are rows of the matrices that states are multiplied with.
@@ -60,6 +62,10 @@ HALF = WIDTH + 1
 #: A score so low that its share of attention is exactly zero.
 OUT = -1000.0
 _ONES, _TINY = np.ones(64, np.float32), np.float32(1e-37)
+#: Adds up the scores of groups and those of members.
+_BOTH = np.repeat(np.eye(3, 2, dtype=np.float32), (GROUPS, MEMBERS, SCORES - GROUPS - MEMBERS), axis=0)
+#: Rows of a list that are added up at once.
+TOGETHER = 16
 SAMPLE, SAMPLE_WINDOWS, STEPS, BATCH, RATE, LATER_RATE = 900, 48, 900, 192, 0.015, 0.0015
 WINDOWS_AT_ONCE, IDS_AT_ONCE = 192, 1 << 18
 #: Words kept out of the bins, and documents that they are looked for in.
@@ -249,8 +255,10 @@ class Attention:
         n = counts.reshape(INPUTS, CLASSES) + SMOOTH * self.share
         by_group = n.reshape(INPUTS, GROUPS, MEMBERS).sum(2)
         logs = lambda part, whole: np.where(part > 0, np.log(np.maximum(part, 1e-30) / np.maximum(whole, 1e-30)), -60).astype(np.float32)
-        self.group_logs = logs(by_group, by_group.sum(1, keepdims=True))
-        self.member_logs = logs(n.reshape(INPUTS, GROUPS, MEMBERS), by_group[:, :, None])
+        # for each input and group of the target: the groups' logs, then the members'
+        self.logs = np.full((INPUTS, GROUPS, SCORES), OUT, np.float32)
+        self.logs[:, :, :GROUPS] = logs(by_group, by_group.sum(1, keepdims=True))[:, None, :]
+        self.logs[:, :, GROUPS : GROUPS + MEMBERS] = logs(n.reshape(INPUTS, GROUPS, MEMBERS), by_group[:, :, None])
 
     def inputs(self, ids: np.ndarray, at: np.ndarray, seq: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Rows of CONTEXT + STEP inputs: the id before each place, BEGIN before a text, padding elsewhere."""
@@ -263,68 +271,85 @@ class Attention:
         return row[(first + shift[seq] - CONTEXT)[:, None] + np.arange(lead, dtype=np.int32)[None, :]]
 
     def attend(self, x: np.ndarray):
-        """Shares of attention, what was asked and given, and the state of each of the last STEP places."""
-        ask, give = self.p["ask"][x[:, CONTEXT:]], self.p["give"][x]
-        s = ask[:, :, HALF:] @ give[:, :, HALF:].transpose(0, 2, 1)
+        """Shares of attention, what was asked and given, what came of them, and the state of each of the last STEP places."""
+        ask, give = self.p["ask"].take(x[:, CONTEXT:], axis=0), self.p["give"].take(x, axis=0)
+        s = ask[:, :, HALF:] @ give[:, :, HALF:].transpose(0, 2, 1).copy()  # products of small matrices are slow turned
         s += self.p["lag"][self.lag] + self.later
-        np.minimum(s, 60, out=s)
+        if s.max(initial=0) > 60:
+            np.minimum(s, 60, out=s)
         np.exp(s, out=s)
         s *= 1 / (s @ _ONES[: CONTEXT + STEP] + np.float32(1e-20))[:, :, None]
-        h = s @ give[:, :, :HALF]
-        h += ask[:, :, :HALF]
-        return s, ask, give, h.reshape(-1, HALF)
+        got = s @ give[:, :, :HALF]
+        return s, ask, give, got, (got + ask[:, :, :HALF]).reshape(-1, HALF)
 
     def outputs(self, h: np.ndarray, before: np.ndarray, target: np.ndarray):
-        """Rows in the order of their targets' groups: that order, their states, groups and members, exponentials
-        of the groups' and of the own group's members' scores, and the groups' stretches."""
+        """Rows in the order of their targets' groups: that order, their states, the exponentials of the groups' and of
+        the own group's members' scores side by side, the flat places of the targets' among these, the groups' stretches,
+        and by group the matrix that states are multiplied with."""
         group = (target // MEMBERS).astype(np.uint8)
         order = np.argsort(group, kind="stable")
-        group, member, h, before = group[order], (target[order] % MEMBERS), h[order], before[order]
-        edges = np.searchsorted(group, np.arange(GROUPS + 1))
+        edges = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
         parts = [(k, slice(edges[k], edges[k + 1])) for k in range(GROUPS) if edges[k] < edges[k + 1]]
-        by_group, by_member = h @ self.p["G"], np.empty((len(h), MEMBERS), np.float32)
+        weights = np.zeros((GROUPS, HALF, SCORES), self.p["M"].dtype)
+        weights[:, :, :GROUPS], weights[:, :, GROUPS : GROUPS + MEMBERS] = self.p["G"], self.p["M"]
+        h, cell, target = h.take(order, axis=0), (before * GROUPS + group).take(order), target.take(order)
+        scores = self.logs.reshape(-1, SCORES).take(cell, axis=0)
         for k, part in parts:
-            np.matmul(h[part], self.p["M"][k], out=by_member[part])
-        by_group += self.group_logs[before]
-        by_member += self.member_logs[before, group]
-        for out in (by_group, by_member):
-            np.minimum(out, 60, out=out)
-            np.exp(out, out=out)
-        return order, h, group, member, by_group, by_member, parts
+            scores[part] += h[part] @ weights[k]
+        if scores.max(initial=0) > 60:
+            np.minimum(scores, 60, out=scores)
+        np.exp(scores, out=scores)
+        right = np.arange(0, scores.size, SCORES) + target // MEMBERS, np.arange(GROUPS, scores.size, SCORES) + target % MEMBERS
+        return order, h, scores, right, parts, weights
 
     def log_classes(self, x: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probabilities of the target classes, windows by STEP."""
-        order, _, group, member, by_group, by_member, _ = self.outputs(self.attend(x)[3], x[:, CONTEXT:].ravel(), target.ravel())
-        rows, out = np.arange(len(order)), np.empty(len(order), np.float32)
-        got = [np.log(np.maximum(x[rows, right], _TINY)) - np.log(x @ _ONES[: x.shape[1]]) for x, right in ((by_group, group), (by_member, member))]
+        order, _, scores, right, _, _ = self.outputs(self.attend(x)[-1], x[:, CONTEXT:].ravel(), target.ravel())
+        whole, out = scores @ _BOTH, np.empty(len(order), np.float32)
+        got = [np.log(np.maximum(scores.ravel().take(at), _TINY)) - np.log(whole[:, k]) for k, at in enumerate(right)]
         out[order] = got[0] + got[1]
         return out.reshape(target.shape)
 
     def gradients(self, xb: np.ndarray, target: np.ndarray, scored: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
-        s, ask, give, h = self.attend(xb)
-        order, h, group, member, by_group, by_member, parts = self.outputs(h, xb[:, CONTEXT:].ravel(), target.ravel())
-        weight, rows = (scored.ravel()[order] / max(scored.sum(), 1)).astype(np.float32), np.arange(len(order))
-        for out, right in ((by_group, group), (by_member, member)):  # exponentials become the loss's gradient by scores
-            out *= (weight / (out @ _ONES[: out.shape[1]]))[:, None]
-            out[rows, right] -= weight
-        g = {"G": h.T @ by_group, "M": np.zeros_like(p["M"])}
-        back = by_group @ p["G"].T
+        s, ask, give, got, h = self.attend(xb)
+        order, h, scores, right, parts, weights = self.outputs(h, xb[:, CONTEXT:].ravel(), target.ravel())
+        weight = (scored.ravel().take(order) / max(scored.sum(), 1)).astype(np.float32)
+        # exponentials become the loss's gradient by scores
+        scores *= (weight[:, None] / (scores @ _BOTH)) @ _BOTH.T
+        for at in right:
+            scores.reshape(-1)[at] -= weight
+        back, by_weights, turned = np.empty((len(h), WIDTH), h.dtype), np.zeros_like(weights), weights[:, :WIDTH].transpose(0, 2, 1).copy()
         for k, part in parts:
-            np.matmul(h[part].T, by_member[part], out=g["M"][k])
-            back[part] += by_member[part] @ p["M"][k].T
-        d_ask, d_give = np.empty_like(ask), np.empty_like(give)
-        d_ask.reshape(-1, d_ask.shape[2])[order, :HALF] = back
-        dh = d_ask[:, :, :WIDTH]
-        ds = dh @ give[:, :, :WIDTH].transpose(0, 2, 1)
-        ds -= np.einsum("nij,nij->ni", s, ds)[:, :, None]
+            np.matmul(h[part].T, scores[part], out=by_weights[k])
+            np.matmul(scores[part], turned[k], out=back[part])
+        g = {"G": by_weights[:, :, :GROUPS].sum(0), "M": np.ascontiguousarray(by_weights[:, :, GROUPS : GROUPS + MEMBERS])}
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        # a state's gradient, and what the softmax takes off the gradients of its scores, which stands beside a one
+        dh = np.empty((len(xb), STEP, HALF), h.dtype)
+        dh[:, :, :WIDTH] = back.take(place, axis=0).reshape(len(xb), STEP, WIDTH)
+        dh[:, :, WIDTH] = 0
+        got *= dh
+        dh[:, :, WIDTH] = got @ -_ONES[:HALF]
+        turned = np.ones((len(xb), HALF, CONTEXT + STEP), give.dtype)
+        turned[:, :WIDTH] = give[:, :, :WIDTH].transpose(0, 2, 1)
+        ds = dh @ turned
         ds *= s
-        np.matmul(s.transpose(0, 2, 1), d_ask[:, :, :HALF], out=d_give[:, :, :HALF])
-        np.matmul(ds, give[:, :, HALF:], out=d_ask[:, :, HALF:])
-        np.matmul(ds.transpose(0, 2, 1), ask[:, :, HALF:], out=d_give[:, :, HALF:])
-        g["ask"], g["give"] = _scattered(p["ask"], xb[:, CONTEXT:], d_ask), _scattered(p["give"], xb, d_give)
-        for fixed in (g["ask"], g["give"]):
-            fixed[:, WIDTH] = fixed[:, -1] = 0
+        # by input: gradients of its value and key, and, beyond the context, of its embedding and query
+        d = np.empty((*xb.shape, 2 * (WIDTH + KEYS)), h.dtype)
+        give_d, ask_d = d[:, :, : WIDTH + KEYS], d[:, CONTEXT:, WIDTH + KEYS :]
+        d[:, :CONTEXT, WIDTH + KEYS :] = 0
+        ask_d[:, :, :WIDTH] = dh[:, :, :WIDTH]
+        np.matmul(s.transpose(0, 2, 1), dh[:, :, :WIDTH], out=give_d[:, :, :WIDTH])
+        np.matmul(ds, give[:, :, HALF:-1], out=ask_d[:, :, WIDTH:])
+        np.matmul(ds.transpose(0, 2, 1), ask[:, :, HALF:-1], out=give_d[:, :, WIDTH:])
+        found, rows = _scattered(xb, d)
+        for k, part in (("give", rows[:, : WIDTH + KEYS]), ("ask", rows[:, WIDTH + KEYS :])):
+            wide = np.zeros((len(found), p[k].shape[1]), p[k].dtype)  # the fixed columns keep 0
+            wide[:, :WIDTH], wide[:, HALF:-1] = part[:, :WIDTH], part[:, WIDTH:]
+            g[k] = np.zeros_like(p[k])
+            g[k][found] = wide
         g["lag"] = np.bincount(self.lag.ravel(), weights=ds.sum(0).ravel(), minlength=CONTEXT + STEP).astype(np.float32)
         return g
 
@@ -394,40 +419,59 @@ class Attention:
 
 
 class Adam:
-    """Steps along gradients scaled by their running mean squares, in buffers of its own."""
+    """Steps along gradients scaled by their running mean squares, in buffers of its own: sums, of which the means are a
+    tenth and a hundredth."""
 
     def __init__(self):
-        self.steps, self.mean, self.square = 0, {}, {}
+        self.steps, self.sums, self.squares = 0, {}, {}
 
     def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
         self.steps += 1
-        at_mean, at_square = np.float32(rate / (1 - 0.9**self.steps)), np.float32(1 / np.sqrt(1 - 0.99**self.steps))
+        scale = 0.1 / np.sqrt(1 - 0.99**self.steps)  # root of a sum of squares to root of the unbiased mean
+        at_sum, least = np.float32(0.1 * rate / (1 - 0.9**self.steps) / scale), np.float32(1e-7 / scale)
         for k, grad in g.items():
-            if k not in self.mean:
-                self.mean[k], self.square[k] = np.zeros_like(grad), np.zeros_like(grad)
-            mean, square = self.mean[k], self.square[k]
-            mean *= np.float32(0.9)
-            mean += np.float32(0.1) * grad
-            square *= np.float32(0.99)
+            if k not in self.sums:
+                self.sums[k], self.squares[k] = np.zeros_like(grad), np.zeros_like(grad)
+            sums, squares = self.sums[k], self.squares[k]
+            sums *= np.float32(0.9)
+            sums += grad
+            squares *= np.float32(0.99)
             grad *= grad
-            grad *= np.float32(0.01)
-            square += grad
-            np.sqrt(square, out=grad)
-            grad *= at_square
-            grad += np.float32(1e-7)
-            np.divide(mean, grad, out=grad)
-            grad *= at_mean
+            squares += grad
+            np.sqrt(squares, out=grad)
+            grad += least
+            np.divide(sums, grad, out=grad)
+            grad *= at_sum
             p[k] -= grad
 
 
-def _scattered(like: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Rows added up by their index."""
-    at, rows = at.ravel(), rows.reshape(-1, like.shape[1])
-    order = np.argsort(at.astype(np.uint16), kind="stable")
-    key = at[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    out = np.zeros_like(like)
-    out[key[first]] = np.add.reduceat(rows[order], first, axis=0)
+def _scattered(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The indices there are, ascending, and the sum of each one's rows: those of lists of at most TOGETHER rows of one
+    index first, then those of an index's lists."""
+    at, rows = at.ravel(), rows.reshape(-1, rows.shape[-1])
+    n = np.bincount(at)
+    found = np.flatnonzero(n)
+    n = n[found]
+    lists, ends = -(-n // TOGETHER), np.cumsum(n)
+    first = np.cumsum(lists) - lists
+    begin = np.repeat(ends - n - TOGETHER * first, lists) + TOGETHER * np.arange(lists.sum())
+    rows = _runs(rows, np.argsort(at.astype(np.uint16), kind="stable"), begin, np.minimum(np.repeat(ends, lists) - begin, TOGETHER))
+    several = np.flatnonzero(lists > 1)
+    out = rows.take(first, axis=0)
+    if len(several):
+        out[several] = _runs(rows, np.arange(len(rows)), first[several], lists[several])
+    return found, out
+
+
+def _runs(rows: np.ndarray, order: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of rows[order[begin[i]:begin[i] + size[i]]], the k-th rows of all runs at a time."""
+    by_size = np.argsort(size.max() - size, kind="stable")  # the runs that have a k-th row come first
+    begin, longer = begin[by_size], (len(size) - np.cumsum(np.bincount(size))).tolist()
+    total = rows.take(order.take(begin), axis=0)
+    for k in range(1, len(longer) - 1):
+        total[: longer[k]] += rows.take(order.take(begin[: longer[k]] + k), axis=0)
+    out = np.empty_like(total)
+    out[by_size] = total
     return out
 
 
@@ -614,7 +658,7 @@ def _counted(n_bins: int, sent):
             rare = K.place_in(h, sent.value) < 0
             h, doc = h[rare], doc[rare]
             order = np.argsort(h)
-            order = order[np.argsort(doc[order], kind="stable")]
+            order = order[np.argsort(doc[order].astype(np.uint16 if len(w.at) <= 1 << 16 else np.int64), kind="stable")]  # 16 bits: by radix
             h, doc = h[order], doc[order]
             at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, int)
             trains = rows.column("trains").to_numpy(zero_copy_only=False).astype(np.int32)
