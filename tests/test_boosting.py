@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -58,7 +59,10 @@ class TestBoosting:
         held = boosting.grow(frame(spark, data), ["a", "b"], ["c"], settings)
         monkeypatch.setattr(boosting, "BLOCK", 60)
         monkeypatch.setattr(boosting, "WRITTEN", 2)
+        written = lambda: {p for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("part-*")}
+        before = written()
         dealt = boosting.grow(frame(spark, data[::-1]).repartition(3), ["a", "b"], ["c"], settings)
+        assert written() == before
         assert list(held) == list(dealt) == [settings[0].path, settings[1].path]
         for p in held:
             assert len(held[p].leaf) == 5 and held[p].base == dealt[p].base
